@@ -13,7 +13,7 @@ from tokenledger.fixed_values import (
 )
 from tokenledger.operators.joins import lookup
 from tokenledger.operators.ordering import carry_along
-from tokenledger.sources.catalog import RATE, Catalog, usd_per_credit
+from tokenledger.sources.catalog import RATE, Catalog, all_names, usd_per_credit
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -225,9 +225,8 @@ def rate_history(catalog: Catalog, names: DataFrame) -> DataFrame:
 
     Names are taken as they are; those the catalog does not know give no row.
     """
-    known = F.concat(F.array("model_key"), F.coalesce("aliases", F.array().cast("array<string>")))
     entries = catalog.entries.select(
-        "catalog_id", "model_key", "fast_multiplier", "rates", F.explode(known).alias("name")
+        "catalog_id", "model_key", "fast_multiplier", "rates", F.explode(all_names()).alias("name")
     )
     wanted = names.select("queried").distinct()
     found = lookup(entries, wanted, {"name": "queried"}, how="inner").select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenledger.fixed_values import RATE_FIELDS
 from tokenledger.functions.times import instant
 from tokenledger.operators.joins import lookup
-from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog
+from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog, all_names
 
 UNIT = "decimal(18,14)"
 _OPEN_END = "9999-12-31 00:00:00"
@@ -22,9 +22,8 @@ _PER_TOKEN = "0.000001"
 
 def model_names(catalog: Catalog) -> DataFrame:
     """Every name the catalog knows, keys and aliases, with the key it stands for."""
-    names = F.concat(F.array("model_key"), F.coalesce("aliases", F.array().cast("array<string>")))
     return catalog.entries.select(
-        F.explode(names).alias("catalog_name"), F.col("model_key").alias("resolved_key")
+        F.explode(all_names()).alias("catalog_name"), F.col("model_key").alias("resolved_key")
     )
 
 
@@ -61,9 +60,8 @@ def price_book(catalog: Catalog) -> DataFrame:
     entries without a join; fields without a price have no row.
     """
     multiplier = F.coalesce(F.col("fast_multiplier").try_cast(MULTIPLIER), F.lit(1).cast(MULTIPLIER))
-    names = F.concat(F.array("model_key"), F.coalesce("aliases", F.array().cast("array<string>")))
     periods = catalog.entries.select(
-        F.explode(names).alias("book_name"),
+        F.explode(all_names()).alias("book_name"),
         multiplier.alias("multiplier"),
         F.col("credits_per_mtok").alias("credit"),
         "rates",

@@ -108,6 +108,12 @@ def entries_from_lines(lines: DataFrame) -> DataFrame:
     return lines.select("catalog_id", F.inline(F.array(entry)))
 
 
+def all_names() -> Column:
+    """Key and aliases of an entry, each once."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array("model_key"), aliases))
+
+
 def usd_per_credit(headers: DataFrame) -> DataFrame:
     """Price of a credit per catalog, 0 where the header gives none."""
     price = F.coalesce(F.col("usd_per_credit").try_cast(RATE), F.lit(0).cast(RATE))
