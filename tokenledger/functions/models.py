@@ -13,29 +13,36 @@ from tokenledger.fixed_values import (
     VARIANT_SUFFIXES,
 )
 
-# Surrounding whitespace in the Unicode sense, with the ASCII separators \x1c-\x1f.
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_VARIANTS = r"(?i)(?:-(?:" + "|".join(VARIANT_SUFFIXES) + r"))+$"
-# Only names matching this can be changed by the rules below; most names skip them all.
-_NEEDS_WORK = r"(?Ui)^[\s\x1c-\x1f]|[\s\x1c-\x1f\]]$|@\d{6,8}$|\d\.\d|-(?:" + "|".join(VARIANT_SUFFIXES) + r")$"
+# Every space Unicode knows, with the ASCII separators \x1c-\x1f.
+SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_VARIANTS = r"(?i:-(?:" + "|".join(VARIANT_SUFFIXES) + r"))*"
+# Everything that goes, in one pass: space in front, and at the end variant suffixes, then one date
+# suffix, then one bracket suffix, then space. The look-ahead lets letters and digits pass at once.
+_COSMETIC = (
+    rf"(?=[-@\[]|[^!-~])(?:^[{SPACES}]+|"
+    rf"{_VARIANTS}(?:{DATE_SUFFIX[:-1]})?(?:{BRACKET_SUFFIX[:-1]})?[{SPACES}]*$)"
+)
+# A dot between digits, in names that start with "claude-": each match goes on where the last one ended.
+_DOTTED = r"((?:^claude-|\G(?!^)).*?\d)\.(?=\d)"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    return F.regexp_replace(text, rf"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def model_key(raw: Column) -> Column:
     """Stable key of a model name: cosmetic suffixes off, dotted minor versions dashed.
 
-    One bracket suffix and one date suffix go, then any run of variant suffixes.
+    One bracket suffix and one date suffix go, then any run of variant suffixes. Names come with every
+    single fact, so rules that cannot apply are skipped, and none runs twice.
     """
-    name = F.regexp_replace(strip(raw), BRACKET_SUFFIX, "")
-    name = F.regexp_replace(name, DATE_SUFFIX, "")
-    name = F.regexp_replace(name, _VARIANTS, "")
-    dashed = F.regexp_replace(name, r"(?<=\d)\.(?=\d)", "-")
-    cleaned = F.when(name.startswith("claude-"), dashed).otherwise(name)
-    key = F.when(raw.rlike(_NEEDS_WORK), cleaned).otherwise(raw)
-    return F.coalesce(F.nullif(key, F.lit("")), F.lit(UNKNOWN_MODEL))
+    name = F.regexp_replace(raw, _COSMETIC, "")
+    dashed = F.when(raw.contains("claude-"), F.regexp_replace(name, _DOTTED, "$1-")).otherwise(name)
+    # What starts with a letter or digit cannot end up empty.
+    first = F.ascii(raw)
+    solid = first.between(48, 57) | first.between(65, 90) | first.between(97, 122)
+    key = F.when(solid, dashed).otherwise(F.regexp_replace(dashed, "^$", UNKNOWN_MODEL))
+    return F.coalesce(key, F.lit(UNKNOWN_MODEL))
 
 
 def session_mode(speed: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import FILE_AGE_SLACK
+from tokenledger.functions.models import SPACES
 
 LINE_SCHEMA = "file string, block bigint, pos bigint, line string"
 LISTING_SCHEMA = "file string, modified_at timestamp, size bigint"
@@ -138,7 +139,7 @@ def parse_lines(lines: DataFrame, event_type: str) -> DataFrame:
     )
     # Inlined as an array of one: a filter on what was parsed stays above, and never parses again.
     parsed = lines.select("*", F.inline(F.array(envelope)))
-    blank = F.col("line").rlike(r"(?U)^[\s\x1c-\x1f]*$")
+    blank = F.col("line").rlike(rf"^[{SPACES}]*$")
     is_object = F.coalesce(F.col("complete"), F.lit(False)) & F.col("event").isNotNull()
     return parsed.select(
         *lines.columns,
