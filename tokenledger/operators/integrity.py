@@ -143,8 +143,7 @@ def period_overlaps(catalog: Catalog) -> DataFrame:
         .withColumn("pos", F.struct("effective_from", "rate_id"))
         .select("catalog_id", "model_key", "rate_id", "effective_from", "effective_until", "block", "pos")
     )
-    neighbour = F.struct("rate_id", "effective_until")
-    paired = carry_along(periods, ["catalog_id", "model_key"], latest={"earlier": neighbour})
+    paired = carry_along(periods, ["catalog_id", "model_key"], latest={"earlier": F.lit(True)})
     still_open = F.col("earlier.effective_until").isNull()
     overlap = still_open | (F.col("earlier.effective_until") > F.col("effective_from"))
     return paired.filter(F.col("earlier").isNotNull() & overlap).select(

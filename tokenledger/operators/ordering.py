@@ -19,28 +19,34 @@ def carry_along(
     earliest: dict[str, Column] | None = None,
     attach: DataFrame | None = None,
 ) -> DataFrame:
-    """Add, for every row, values of rows strictly before it within ``keys``, by (block, pos).
+    """Add, for every row, another row strictly before it within ``keys``, by (block, pos).
 
-    ``latest`` takes the last non-null value of an expression, ``earliest`` the first one. ``attach``
-    is a frame to inner-join on ``keys``; it meets the frame of blocks, not the rows.
+    ``latest`` and ``earliest`` map a new column to a condition: it becomes the last (first) earlier row
+    that meets it, as a struct, or null. ``attach`` is a frame to inner-join on ``keys``; it meets the
+    frame of blocks, not the rows.
     """
     latest, earliest = latest or {}, earliest or {}
     parts = [*keys, "block"]
-    before = Window.partitionBy(*parts).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.select(
-        "*",
-        *[F.last(value, True).over(before).alias(f"_{name}") for name, value in latest.items()],
-        *[F.first(value, True).over(before).alias(f"_{name}") for name, value in earliest.items()],
-    )
+    marks = {f"_is_{name}": condition for name, condition in {**latest, **earliest}.items()}
+    marked = rows.withColumns(marks) if marks else rows
+    # Whole rows are shuffled once and read by both branches below: packed in a struct, neither branch
+    # can drop columns the other needs, so Spark sees that they want the same shuffle.
+    shared = marked.select(*parts, "pos", F.struct(*marked.columns).alias("row")).repartition(*parts)
 
-    def at(pick, value: Column) -> Column:
-        # The whole row goes along, so that both branches read the same columns and share a shuffle.
-        found = F.struct(value.alias("value"), F.struct(*inside.columns).alias("row"))
-        return pick(found, F.when(value.isNotNull(), F.col("pos")))["value"]
+    def met(name: str, value: Column) -> Column:
+        return F.when(F.col(f"row._is_{name}"), value)
 
-    blocks = inside.groupBy(*parts).agg(
-        *[at(F.max_by, value).alias(name) for name, value in latest.items()],
-        *[at(F.min_by, value).alias(name) for name, value in earliest.items()],
+    row = F.col("row")
+    before = Window.partitionBy(*parts).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    inside = shared.select(
+        *parts,
+        "row",
+        *[F.last(met(name, row), True).over(before).alias(f"_in_{name}") for name in latest],
+        *[F.first(met(name, row), True).over(before).alias(f"_in_{name}") for name in earliest],
+    )
+    blocks = shared.groupBy(*parts).agg(
+        *[F.max_by(row, met(name, F.col("pos"))).alias(name) for name in latest],
+        *[F.min_by(row, met(name, F.col("pos"))).alias(name) for name in earliest],
     )
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(
@@ -50,13 +56,12 @@ def carry_along(
     )
     if attach is not None:
         carried = carried.join(attach, keys)
-
-    joined = inside.join(carried, parts)
-    helpers = [f"_{n}" for n in (*latest, *earliest)] + [f"_before_{n}" for n in (*latest, *earliest)]
-    return joined.select(
-        *[c for c in joined.columns if c not in helpers],
-        *[F.coalesce(f"_{name}", f"_before_{name}").alias(name) for name in latest],
-        *[F.coalesce(f"_before_{name}", f"_{name}").alias(name) for name in earliest],
+    attached = [c for c in attach.columns if c not in keys] if attach is not None else []
+    return inside.join(carried, parts).select(
+        *[F.col(f"row.{c}") for c in rows.columns],
+        *attached,
+        *[F.coalesce(f"_in_{name}", f"_before_{name}").alias(name) for name in latest],
+        *[F.coalesce(f"_before_{name}", f"_in_{name}").alias(name) for name in earliest],
     )
 
 

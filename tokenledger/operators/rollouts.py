@@ -66,12 +66,11 @@ def deltas(events: DataFrame, threads: DataFrame | None = None) -> DataFrame:
     without a thread drop out, and a file of two threads counts for both.
     """
     relevant = events.filter(F.col("is_snapshot") | F.col("started_mode").isNotNull()).drop("malformed")
-    counters = F.struct("input", "cached", "output")
     carried = carry_along(
         relevant,
         ["file"],
-        latest={"previous": F.when(F.col("usable"), counters)},
-        earliest={"collaboration_mode": F.col("started_mode")},
+        latest={"previous": F.col("usable")},
+        earliest={"started": F.col("started_mode").isNotNull()},
         attach=threads,
     )
     kept = [c for c in threads.columns if c != "file"] if threads is not None else []
@@ -85,7 +84,7 @@ def deltas(events: DataFrame, threads: DataFrame | None = None) -> DataFrame:
         "pos",
         "occurred_at_utc",
         *kept,
-        "collaboration_mode",
+        F.col("started.started_mode").alias("collaboration_mode"),
         F.col("previous").isNull().alias("first_delta"),
         increment("input").alias("d_input"),
         increment("cached").alias("d_cached"),

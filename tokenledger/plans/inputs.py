@@ -236,14 +236,19 @@ def tokens_used(derived: str) -> str:
     )
 
 
-def resolved_threads(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the rollout logs: a listing, which reads no lines."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(F.concat(F.lit("file://"), F.expr(ROLLOUT_FILE)).alias("file"))
+
+
+def resolved_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     threads = thread_table(spark, sf_dir).withColumn("tokens_used", F.lit(0).cast("bigint"))
-    return resolve_rollouts(threads, lines.select("file").distinct(), HOME)
+    return resolve_rollouts(threads, rollout_files(spark, sf_dir), HOME)
 
 
-def threads_by_file(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    resolved = resolved_threads(spark, sf_dir, lines)
-    return rollouts.by_file(resolved, lines.select("file").distinct())
+def threads_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts.by_file(resolved_threads(spark, sf_dir), rollout_files(spark, sf_dir))
 
 
 # --- small catalog with test prices, for pricing ----------------------------------------------------

@@ -15,7 +15,7 @@ from tokenledger.operators import facts as fact_ops
 from tokenledger.operators import integrity, pricing, quality, report, rollouts, session_events
 from tokenledger.operators.ordering import carry_along
 from tokenledger.plans import inputs
-from tokenledger.session import shared_dir, use_utc
+from tokenledger.session import shared_dir, use_utc, written
 from tokenledger.sinks import export, report_files
 from tokenledger.sources import logs
 from tokenledger.sources.threads import select_threads
@@ -88,10 +88,10 @@ def log_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files were written in event order: lines read back out of that order are counted."""
     lines = logs.session_lines(spark, _written_logs(spark, sf_dir), pattern="*.txt")
     numbered = lines.withColumn("event", _event_of_line()).drop("line")
-    carried = carry_along(numbered, ["file"], latest={"previous": F.col("event")})
+    carried = carry_along(numbered, ["file"], latest={"previous": F.lit(True)})
     return carried.groupBy(_project(F.col("file"))).agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col("previous") > F.col("event")).alias("n_out_of_order"),
+        F.count_if(F.col("previous.event") > F.col("event")).alias("n_out_of_order"),
     )
 
 
@@ -122,9 +122,8 @@ def parse_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _threads_with_totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Resolved threads by file with their own totals, and their counters."""
-    lines = inputs.rollout_lines(spark, sf_dir)
-    threads = inputs.threads_by_file(spark, sf_dir, lines).drop("tokens_used")
-    counters = rollouts.thread_counters(rollouts.deltas(rollouts.read_events(lines), threads))
+    threads = inputs.threads_by_file(spark, sf_dir).drop("tokens_used")
+    counters = written(rollouts.thread_counters(_thread_deltas(spark, sf_dir)))
     own = counters.select(
         "file",
         "thread_id",
@@ -144,8 +143,7 @@ def scan_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.rollout_lines(spark, sf_dir)
-    return inputs.resolved_threads(spark, sf_dir, lines).select("id", "path", "present")
+    return inputs.resolved_threads(spark, sf_dir).select("id", "path", "present")
 
 
 @query
@@ -282,9 +280,8 @@ def detect_mode_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _thread_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.rollout_lines(spark, sf_dir)
-    threads = inputs.threads_by_file(spark, sf_dir, lines)
-    return rollouts.deltas(rollouts.read_events(lines), threads)
+    events = rollouts.read_events(inputs.rollout_lines(spark, sf_dir))
+    return rollouts.deltas(events, inputs.threads_by_file(spark, sf_dir))
 
 
 def _file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,13 +559,13 @@ def source_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters over both kinds of logs, with all threads."""
+    """Counters over both kinds of logs, with all threads. Parsed logs serve several counters, so they
+    are written once."""
     catalog = inputs.test_catalog(spark)
-    session_log = session_events.read_events(inputs.session_lines(spark, sf_dir))
-    lines = inputs.rollout_lines(spark, sf_dir)
-    resolved = inputs.resolved_threads(spark, sf_dir, lines)
-    threads = rollouts.by_file(resolved, lines.select("file").distinct())
-    rollout_log = rollouts.read_events(lines)
+    session_log = written(session_events.read_events(inputs.session_lines(spark, sf_dir)))
+    rollout_log = written(rollouts.read_events(inputs.rollout_lines(spark, sf_dir)))
+    resolved = inputs.resolved_threads(spark, sf_dir)
+    threads = rollouts.by_file(resolved, inputs.rollout_files(spark, sf_dir))
     increments = rollouts.deltas(rollout_log, threads)
     facts = fact_ops.union_sources(
         session_events.usage_facts(session_events.fill_session_id(session_log)),
