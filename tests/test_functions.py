@@ -1,0 +1,166 @@
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenledger.functions import cells, counts, models, times
+
+
+def values(spark, texts, expression):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: r.v for r in frame.select("i", expression(F.col("t")).alias("v")).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_model_key_cases(spark):
+    cases = {
+        "claude-x-4.7": "claude-x-4-7",
+        "claude-x-4-7[1m]": "claude-x-4-7",
+        "m@20260101": "m",
+        "m-fast": "m",
+        "m-1m-fast-LATEST": "m",
+        "gpt-5.6": "gpt-5.6",
+        "gpt-5.6-fast": "gpt-5.6",
+        "x[1m]@20260101": "x[1m]",
+        "x@20260101[1m]": "x",
+        "x-fast@123": "x-fast@123",
+        "claude-1.2.3": "claude-1-2-3",
+        "  padded  ": "padded",
+        "-fast": "(unknown)",
+        " ": "(unknown)",
+        "": "(unknown)",
+        None: "(unknown)",
+    }
+    assert values(spark, list(cases), models.model_key) == list(cases.values())
+
+
+def _slow_model_key(name):
+    """The rules one character at a time, without patterns."""
+    if not name:
+        return "(unknown)"
+    key = name.strip()
+    if key.endswith("]"):
+        start = key.find("[", key.rfind("]", 0, len(key) - 1) + 1)
+        key = key[:start] if start >= 0 else key
+    at = key.rfind("@")
+    if at >= 0 and 6 <= len(key) - at - 1 <= 8 and key[at + 1 :].isdigit():
+        key = key[:at]
+    shorter = True
+    while shorter:
+        shorter = False
+        for suffix in models.VARIANT_SUFFIXES:
+            if key.lower().endswith("-" + suffix):
+                key, shorter = key[: -len(suffix) - 1], True
+    if key.startswith("claude-"):
+        inner = range(1, len(key) - 1)
+        dots = [i for i in inner if key[i] == "." and key[i - 1].isdigit() and key[i + 1].isdigit()]
+        key = "".join("-" if i in dots else c for i, c in enumerate(key))
+    return key or "(unknown)"
+
+
+def test_model_key_against_slow_rules(spark):
+    pick = random.Random(3)
+    parts = (
+        ["claude-", "x", "-4.7", ".1.2", "[1m]", "@20260101", "@123", "-fast", "-LATEST", "-200k", "-1m"]
+        + [" ", "\t", " ", "　", "[", "]", "@2026010199", "gpt-5.6", "-", "A", "."]
+    )
+    names = ["".join(pick.choices(parts, k=pick.randint(0, 6))) for _ in range(5000)]
+    assert values(spark, names, models.model_key) == [_slow_model_key(n) for n in names]
+
+
+def test_modes(spark):
+    speeds = {None: "unknown", "": "unknown", "fast": "fast", "FAST-2": "fast", "standard": "normal"}
+    assert values(spark, list(speeds), models.session_mode) == list(speeds.values())
+    kinds = {"default": "normal", " Standard ": "normal", "turbo-Fast": "fast", "other": "unknown", "": "unknown"}
+    found = values(spark, list(kinds), lambda kind: models.rollout_mode(F.lit("gpt-y"), kind))
+    assert found == list(kinds.values())
+    names = {"gpt-fast": "fast", "gpt-FAST-1": "fast", "gpt-faster": "normal", None: "normal"}
+    found = values(spark, list(names), lambda name: models.rollout_mode(name, F.lit("normal")))
+    assert found == list(names.values())
+
+
+def test_instant(spark):
+    cases = {
+        "2026-06-01T10:00:00Z": datetime(2026, 6, 1, 10),
+        "2026-06-01T10:00:00.5+09:00": datetime(2026, 6, 1, 1, 0, 0, 500000),
+        "2026-06-01 10:00:00": datetime(2026, 6, 1, 10),
+        "2026-06-01T10:00Z": datetime(2026, 6, 1, 10),
+        "2026-06-01T10+02:00": datetime(2026, 6, 1, 8),
+        "2026-06-01": datetime(2026, 6, 1),
+        "2026-06": None,
+        "2026": None,
+        "2026-13-01T00:00:00Z": None,
+        "nope": None,
+        "": None,
+        None: None,
+    }
+    assert values(spark, list(cases), lambda t: times.instant(t).cast("timestamp_ntz")) == list(cases.values())
+
+
+def test_window_bounds(spark):
+    zone = "Asia/Tokyo"
+    cases = {
+        "2026-06-01": datetime(2026, 5, 31, 15),
+        "2026-06-01T09:00:00": datetime(2026, 6, 1),
+        "2026-06-01T00:00:00Z": datetime(2026, 6, 1),
+        "2026-06-01T00:00:00+09:00": datetime(2026, 5, 31, 15),
+        "": None,
+    }
+    found = values(spark, list(cases), lambda t: times.window_bound(t, zone).cast("timestamp_ntz"))
+    assert found == list(cases.values())
+    assert values(spark, ["", None, "soon", "2026-06-01"], lambda t: times.bad_window_bound(t, zone)) == [
+        False,
+        False,
+        True,
+        False,
+    ]
+    assert times.required_window_bound("", zone) is None
+    with pytest.raises(Exception, match="invalid date/time"):
+        spark.range(1).select(times.required_window_bound("soon", zone)).collect()
+
+
+def test_month_and_iso(spark):
+    def month(zone):
+        return lambda t: times.month_label(times.month_start(t.cast("timestamp"), zone))
+
+    moments = ["2026-05-31 20:00:00", "2026-03-08 06:30:00", "2026-11-01 03:59:59"]
+    assert values(spark, moments, month("UTC")) == ["2026-05", "2026-03", "2026-11"]
+    assert values(spark, moments, month("Asia/Tokyo")) == ["2026-06", "2026-03", "2026-11"]
+    assert values(spark, moments, month("America/New_York")) == ["2026-05", "2026-03", "2026-10"]
+    texts = ["2026-06-01 00:00:00", "2026-06-01 00:00:00.25"]
+    assert values(spark, texts, lambda t: times.iso_utc(t.cast("timestamp"))) == [
+        "2026-06-01T00:00:00+00:00",
+        "2026-06-01T00:00:00.250000+00:00",
+    ]
+
+
+def test_token_counts(spark):
+    cases = {
+        "12": 12,
+        '"12"': 12,
+        "1.9": 1,
+        "-1.9": -1,
+        "true": 1,
+        "false": 0,
+        "null": 0,
+        '""': 0,
+        "[]": 0,
+        "{}": 0,
+        '"1.5"': None,
+        '"abc"': None,
+        "[1]": None,
+        '"[]"': None,
+    }
+    found = values(spark, list(cases), lambda t: counts.token_counts(F.parse_json(t))[0])
+    assert found == list(cases.values())
+    texts = {'"fast"': "fast", '"false"': "false", "false": None, "null": None, '""': None, "0": None, "5": "5"}
+    assert values(spark, list(texts), lambda t: counts.text_value(F.parse_json(t))) == list(texts.values())
+
+
+def test_cells(spark):
+    numbers = ["0", "0.00005", "1.234567", "1000000.5", None]
+    exact = [lambda t: cells.cost_cell(t.cast("decimal(38,14)")), lambda t: cells.credits_cell(t.cast("double"))]
+    assert values(spark, numbers, exact[0]) == ["0.0000", "0.0001", "1.2346", "1000000.5000", "-"]
+    assert values(spark, numbers, exact[1]) == ["-", "0.00", "1.23", "1000000.50", "-"]
+    assert values(spark, ["x", None], cells.text_cell) == ["x", "-"]

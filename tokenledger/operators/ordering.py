@@ -7,6 +7,9 @@ boundary is carried by a second frame with one row per block.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +25,17 @@ def carry_along(
     """Add, for every row, another row strictly before it within ``keys``, by (block, pos).
 
     ``latest`` and ``earliest`` map a new column to a condition: it becomes the last (first) earlier row
-    that meets it, as a struct, or null. ``attach`` is a frame to inner-join on ``keys``; it meets the
+    that meets it, as a struct, or null. Rows without a key or block drop out. ``attach`` is a frame to inner-join on ``keys``; it meets the
     frame of blocks, not the rows.
     """
     latest, earliest = latest or {}, earliest or {}
     parts = [*keys, "block"]
     marks = {f"_is_{name}": condition for name, condition in {**latest, **earliest}.items()}
-    marked = rows.withColumns(marks) if marks else rows
     # Whole rows are shuffled once and read by both branches below: packed in a struct, neither branch
-    # can drop columns the other needs, so Spark sees that they want the same shuffle.
+    # can drop columns the other needs, and with nulls filtered here the join below adds no filter to
+    # one of them, so Spark sees that they want the same shuffle.
+    complete = reduce(and_, [F.col(part).isNotNull() for part in parts])
+    marked = rows.filter(complete).withColumns(marks)
     shared = marked.select(*parts, "pos", F.struct(*marked.columns).alias("row")).repartition(*parts)
 
     def met(name: str, value: Column) -> Column:

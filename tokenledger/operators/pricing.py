@@ -29,7 +29,9 @@ def model_names(catalog: Catalog) -> DataFrame:
 
 def resolve_alias(facts: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``resolved_key``: the catalog's key for ``model_key``, null when it knows no such name."""
-    return lookup(facts, model_names(catalog), {"model_key": "catalog_name"}).drop("catalog_name")
+    names = model_names(catalog)
+    found = lookup(facts, names, {"model_key": "catalog_name"}, broadcast=catalog.is_small)
+    return found.drop("catalog_name")
 
 
 def _covers(moment: Column, start: Column, end: Column) -> Column:
@@ -49,7 +51,11 @@ def lookup_period(facts: DataFrame, catalog: Catalog) -> DataFrame:
     )
     covering = _covers(F.col("occurred_at_utc"), F.col("period_from"), F.col("period_until"))
     return lookup(
-        resolve_alias(facts, catalog), periods, {"resolved_key": "period_model"}, condition=covering
+        resolve_alias(facts, catalog),
+        periods,
+        {"resolved_key": "period_model"},
+        condition=covering,
+        broadcast=catalog.is_small,
     ).drop("period_model", "period_from", "period_until")
 
 
@@ -116,6 +122,7 @@ def with_unit_prices(facts: DataFrame, catalog: Catalog) -> DataFrame:
         price_book(catalog),
         {"model_key": "book_name", "token_kind": "book_kind", "is_fast": "book_fast"},
         condition=covering,
+        broadcast=catalog.is_small,
     )
     return joined.select(
         *facts.columns,

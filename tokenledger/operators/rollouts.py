@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import FACT_COLUMNS
-from tokenledger.functions.counts import token_count
+from tokenledger.functions.counts import token_counts
 from tokenledger.functions.models import model_key, rollout_mode
 from tokenledger.functions.times import instant
 from tokenledger.operators.ordering import carry_along
 from tokenledger.sources.logs import ROLLOUT_EVENT, parse_lines, plain_path
 
 _TOTALS = "event.payload.info.total_token_usage"
+# Names of the counters here, and in a snapshot.
+_COUNTERS = {"input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens"}
 
 
 def _is_message(kind: str) -> Column:
@@ -41,14 +43,15 @@ def read_events(lines: DataFrame) -> DataFrame:
         F.when(
             _is_message("task_started"), F.col("event.payload.collaboration_mode_kind")
         ).alias("started_mode"),
-        token_count(F.col(f"{_TOTALS}.input_tokens")).alias("input"),
-        token_count(F.col(f"{_TOTALS}.cached_input_tokens")).alias("cached"),
-        token_count(F.col(f"{_TOTALS}.output_tokens")).alias("output"),
+        token_counts(*[F.col(f"{_TOTALS}.{field}") for field in _COUNTERS.values()]).alias("counts"),
         snapshot.alias("is_snapshot"),
         (F.col("malformed") | no_payload | no_totals).alias("unreadable"),
     ).filter(F.col("is_snapshot") | F.col("started_mode").isNotNull() | F.col("unreadable"))
+    events = events.select(
+        "*", *[F.col("counts")[i].alias(name) for i, name in enumerate(_COUNTERS)]
+    ).drop("counts")
     readable = F.col("occurred_at_utc").isNotNull()
-    for counter in ("input", "cached", "output"):
+    for counter in _COUNTERS:
         readable = readable & F.col(counter).isNotNull()
     usable = F.col("is_snapshot") & readable
     broken = F.col("unreadable") | (F.col("is_snapshot") & ~readable)

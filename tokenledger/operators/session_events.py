@@ -6,13 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import FACT_COLUMNS, UNKNOWN_MODEL
-from tokenledger.functions.counts import text_value, token_count
+from tokenledger.functions.counts import text_value, token_counts
 from tokenledger.functions.models import model_key, session_mode
 from tokenledger.functions.times import instant
 from tokenledger.operators.ordering import carry_along
 from tokenledger.sources.logs import SESSION_EVENT, parse_lines
 
 
+# Names of the counts here, and where a usage block has them.
+_COUNTS = {
+    "input": "input_tokens",
+    "cache_read": "cache_read_input_tokens",
+    "cache_write": "cache_creation_input_tokens",
+    "write_5m": "cache_creation.ephemeral_5m_input_tokens",
+    "write_1h": "cache_creation.ephemeral_1h_input_tokens",
+    "output": "output_tokens",
+}
+
+
 def billable(parsed: DataFrame) -> DataFrame:
     """Assistant events whose usage is an object; anything else is ignored, not malformed."""
     return parsed.filter(_is_billable())
@@ -39,23 +50,24 @@ def read_events(lines: DataFrame) -> DataFrame:
         F.nullif("event.sessionId", F.lit("")).alias("own_session"),
         F.when(_is_billable(), instant(F.col("event.timestamp"))).alias("occurred_at_utc"),
         F.coalesce(F.nullif("event.message.model", F.lit("")), F.lit(UNKNOWN_MODEL)).alias("model_raw"),
-        session_mode(text_value(F.col(f"{usage}.speed"))).alias("mode"),
-        token_count(F.col(f"{usage}.input_tokens")).alias("input"),
-        token_count(F.col(f"{usage}.cache_read_input_tokens")).alias("cache_read"),
-        token_count(F.col(f"{usage}.cache_creation_input_tokens")).alias("cache_write"),
+        text_value(F.col(f"{usage}.speed")).alias("speed"),
         F.col(f"{usage}.cache_creation").isNotNull().alias("has_ttl"),
-        token_count(F.col(f"{usage}.cache_creation.ephemeral_5m_input_tokens")).alias("write_5m"),
-        token_count(F.col(f"{usage}.cache_creation.ephemeral_1h_input_tokens")).alias("write_1h"),
-        token_count(F.col(f"{usage}.output_tokens")).alias("output"),
+        token_counts(*[F.col(f"{usage}.{field}") for field in _COUNTS.values()]).alias("counts"),
         _is_billable().alias("has_usage"),
         (F.col("malformed") | _unreadable_message()).alias("unreadable"),
     ).filter(F.col("has_usage") | F.col("own_session").isNotNull() | F.col("unreadable"))
+    events = events.select(
+        "*", *[F.col("counts")[i].alias(name) for i, name in enumerate(_COUNTS)]
+    ).drop("counts")
     timed = F.col("has_usage") & F.col("occurred_at_utc").isNotNull()
     incomplete = timed & ~_readable_counts()[-1]
     broken = F.col("unreadable") | (F.col("has_usage") & ~timed) | incomplete
     return events.select(
-        "*", timed.alias("billable"), broken.cast("int").alias("malformed")
-    ).drop("unreadable")
+        "*",
+        session_mode(F.col("speed")).alias("mode"),
+        timed.alias("billable"),
+        broken.cast("int").alias("malformed"),
+    ).drop("speed", "unreadable")
 
 
 def _unreadable_message() -> Column:

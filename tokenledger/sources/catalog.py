@@ -7,12 +7,14 @@ A catalog handed in replaces any other, nothing is merged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import RATE_FIELDS
 from tokenledger.functions.times import instant
+from tokenledger.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS
 
 _FIELDS = ", ".join(f"{field}: string" for field in RATE_FIELDS)
 _PERIOD = f"struct<rate_id: string, effective_from: string, effective_until: string, {_FIELDS}>"
@@ -34,6 +36,20 @@ class Catalog:
     headers: DataFrame
     entries: DataFrame
 
+    @cached_property
+    def is_small(self) -> bool:
+        """Whether every lookup table made from the entries is measured to fit a broadcast.
+
+        The largest has a row per name, period, kind and speed. Measured once per catalog, on the
+        entries, in parallel.
+        """
+        entry_rows = F.size(all_names()) * F.coalesce(F.size("rates"), F.lit(0)) * 2 * (len(RATE_FIELDS) + 1)
+        size = self.entries.agg(
+            F.coalesce(F.sum(entry_rows), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(entry_rows * F.length("model_key")), F.lit(0)).alias("text"),
+        ).first()
+        return size["rows"] <= BROADCAST_ROWS and size["rows"] * 100 + size["text"] <= BROADCAST_BYTES
+
     @property
     def models(self) -> DataFrame:
         """Keys and fast multipliers; a model without a multiplier has 1."""
