@@ -31,8 +31,9 @@ def lookup(
     """Join ``big`` to ``small`` where ``big[k] == small[v]`` and ``condition`` holds.
 
     A small side that is measured small goes to every executor. A larger one is shuffled, with the
-    rows of ``big`` spread over salted keys so that one hot key is not one task. Column names of both
-    sides have to differ.
+    rows of ``big`` spread over salted keys so that one hot key is not one task. Exact copies of a row
+    share a salt; a partition they fill is split by adaptive execution (``skewJoin``), which needs no
+    keys for that. Column names of both sides have to differ.
     """
     if broadcast is None:
         broadcast = fits_broadcast(small)

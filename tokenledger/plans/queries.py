@@ -564,9 +564,9 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = inputs.test_catalog(spark)
     session_log = written(session_events.read_events(inputs.session_lines(spark, sf_dir)))
     rollout_log = written(rollouts.read_events(inputs.rollout_lines(spark, sf_dir)))
-    resolved = inputs.resolved_threads(spark, sf_dir)
+    resolved = written(inputs.resolved_threads(spark, sf_dir))
     threads = rollouts.by_file(resolved, inputs.rollout_files(spark, sf_dir))
-    increments = rollouts.deltas(rollout_log, threads)
+    increments = written(rollouts.deltas(rollout_log, threads))
     facts = fact_ops.union_sources(
         session_events.usage_facts(session_events.fill_session_id(session_log)),
         rollouts.delta_facts(increments),

@@ -57,8 +57,8 @@ def collect_usage(
 ) -> Collected:
     """Facts of all sources with the counters of everything scanned.
 
-    Parsed lines are read by several branches, so they are written once to the shared folder: the
-    logs themselves, by far the largest data, are scanned a single time.
+    Parsed lines and increments are read by several branches, so they are written once to the shared
+    folder: the logs themselves, by far the largest data, are scanned a single time.
     """
     use_utc(spark)
     parts, counters, reconciliation = [], [], None
@@ -72,11 +72,11 @@ def collect_usage(
         roots = list(sources.rollout_roots) or [home]
         files = logs.file_listing(spark, roots, recursive=True)
         threads = select_threads(sources.threads, include_archived=include_archived)
-        resolved = resolve_rollouts(threads, files, home)
+        resolved = written(resolve_rollouts(threads, files, home))
         by_file = rollouts.by_file(resolved, files)
         lines = logs.rollout_lines(spark, roots, touched_since=touched_since)
         events = written(rollouts.read_events(lines))
-        increments = rollouts.deltas(events, by_file)
+        increments = written(rollouts.deltas(events, by_file))
         per_thread = rollouts.thread_counters(increments)
         parts.append(rollouts.delta_facts(increments))
         counters += [

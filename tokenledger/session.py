@@ -18,6 +18,8 @@ def build_session(app_name: str = "tokenledger", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.files.ignoreMissingFiles", "true")
+        # Generated methods beyond this size stay interpreted in the JVM; operators then run one by one.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call sites of every single column expression triple the time to build a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
