@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,7 +15,6 @@ def build_session(app_name: str = "tokenledger", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.files.ignoreMissingFiles", "true")
         # Generated methods beyond this size stay interpreted in the JVM; operators then run one by one.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call sites of every single column expression triple the time to build a plan.
@@ -34,23 +31,39 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tokenledger-")
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written intermediates, below what all executors share.
+
+    ``spark.checkpoint.dir`` names the shared folder; where it is unset, as in tests, the warehouse
+    folder of the session serves, which executors share as well.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tokenledger/{spark.sparkContext.applicationId}"
+
+
+_REMOVED_AT_EXIT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new, not yet existing folder below the shared folder of the cluster.
+    """A new, not yet existing folder in the run folder of this application."""
+    base = run_dir(spark)
+    if base not in _REMOVED_AT_EXIT:
+        _REMOVED_AT_EXIT.add(base)
+        atexit.register(_remove, spark, base)
+    return f"{base}/{uuid.uuid4().hex}"
 
-    ``spark.checkpoint.dir`` names that folder. Only a local master may go without it, as in tests:
-    there, and nowhere else, a folder of this machine is as good as a shared one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise PySparkException("set spark.checkpoint.dir to a folder all executors can reach")
-        base = _local_dir()
-    return f"{base.rstrip('/')}/tokenledger/{uuid.uuid4().hex}"
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop
+    conf = context._jsc.hadoopConfiguration() if context._jsc else hadoop.conf.Configuration()
+    folder = hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the run folder. For callers whose outputs are written; frames that read from it end here."""
+    _remove(spark, run_dir(spark))
 
 
 def written(df: DataFrame) -> DataFrame:
