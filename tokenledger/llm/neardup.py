@@ -92,13 +92,18 @@ def odd_sketch(values: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(parity).tobytes(), len(first)
 
 
-def could_link(differ: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sketches with ``differ`` unequal bits, of n and m samples, may be of sets as similar as the
-    threshold. The share of samples in common is estimated; it is not below the similarity of the sets."""
+def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches with ``differ`` unequal bits may be of sets as similar as the threshold, given the sums
+    of both sketches' samples and of both sets' shingles.
+
+    The similarity is the share of ranges with equal samples among the ranges that either set reaches. The
+    bits give the first, the size of the union at the threshold the second.
+    """
     left = np.maximum(1 - 2 * differ / SKETCH_BITS, 1 / SKETCH_BITS)
-    unlike = -SKETCH_BITS / 2 * np.log(left)
-    common = (n + m - unlike) / 2
-    return common >= (threshold - MARGIN) * np.maximum(n, m)
+    equal = (samples + SKETCH_BITS / 2 * np.log(left)) / 2
+    union = shingles_ / (1 + threshold)
+    reached = SAMPLES * -np.expm1(-union / SAMPLES)
+    return equal >= (threshold - MARGIN) * reached
 
 
 def _signature(data: bytes | None) -> dict:
@@ -132,23 +137,24 @@ def _passing(threshold: float):
     """A column: whether two sketches may be of sets as similar as the threshold."""
 
     @F.pandas_udf("boolean")
-    def passes(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
+    def passes(a: pd.Series, b: pd.Series, samples: pd.Series, shingles_: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
         differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return pd.Series(could_link(differ, n.to_numpy(), m.to_numpy(), threshold))
+        return pd.Series(could_link(differ, samples.to_numpy(), shingles_.to_numpy(), threshold))
 
     return passes
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sketches pass."""
-    side = classes.select("doc_id", "sketch", "n_samples")
-    one = side.toDF("id_a", "sketch_a", "samples_a")
-    two = side.toDF("id_b", "sketch_b", "samples_b")
+    side = classes.select("doc_id", "sketch", "n_samples", "n_shingles")
+    one = side.toDF("id_a", "sketch_a", "samples_a", "shingles_a")
+    two = side.toDF("id_b", "sketch_b", "samples_b", "shingles_b")
     joined = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-    passes = _passing(threshold)("sketch_a", "samples_a", "sketch_b", "samples_b")
+    sums = (F.col("samples_a") + F.col("samples_b"), F.col("shingles_a") + F.col("shingles_b"))
+    passes = _passing(threshold)("sketch_a", "sketch_b", *sums)
     return joined.filter(passes).select("a", "b")
 
 
@@ -212,7 +218,7 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
         "doc_id",
         "component",
     )
-    side = classes.select(F.col("doc_id").alias("of"), "sketch", "n_samples")
+    side = classes.select(F.col("doc_id").alias("of"), "sketch", "n_samples", "n_shingles")
     dealt = dealt.join(side, F.col("doc_id") == F.col("of")).drop("of")
 
     def compared(batches):
@@ -233,13 +239,13 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
     def unit_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         ids, labels_ = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        n = rows["n_samples"].to_numpy()
+        samples, counts = rows["n_samples"].to_numpy(), rows["n_shingles"].to_numpy()
         first, second = np.flatnonzero(rows["first"]), np.flatnonzero(rows["second"])
         found: list[np.ndarray] = []
         for i in first:
             others = second[(labels_[second] != labels_[i])]
             differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            passed = others[could_link(differ, n[others], n[i], threshold)]
+            passed = others[could_link(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)]
             found.append(np.stack([np.minimum(ids[passed], ids[i]), np.maximum(ids[passed], ids[i])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -290,8 +296,10 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Ids are counted without their texts; only rows of repeated ids are brought together.
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("doc_id").isNotNull())
     repeated = written(repeated.select(F.col("doc_id").alias("gone")))
-    left = docs.join(dropped.unionAll(repeated).distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
-    again = docs.join(repeated.join(dropped, "gone", "left_anti"), F.col("doc_id") == F.col("gone"), "left_semi")
+    gone = dropped.unionAll(repeated).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    once = repeated.join(dropped, "gone", "left_anti")
+    again = docs.join(once, docs["doc_id"] == once["gone"], "left_semi")
     row = F.struct(*docs.columns)
     one = again.groupBy("doc_id").agg(F.min_by(row, _order(F.col("text"))).alias("row")).select("row.*")
     return left.unionAll(one)

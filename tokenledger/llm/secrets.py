@@ -401,11 +401,11 @@ def digests(found: DataFrame) -> DataFrame:
             F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ","
         )
 
+    def number_of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = [
-        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{name}")
-        for kind, name in enumerate(KINDS[:3])
-    ]
+    counts = [number_of(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

@@ -125,13 +125,14 @@ def shard_of(text_key_: Column, id_key_: Column, cuts: list[tuple[int, int]]) ->
 def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with size, shard and slot, a gapless number within the shard."""
     docs = without(docs, *RESULTS)
+    # The row travels as one column, so that its columns meet no others.
     keyed = docs.select(
-        *docs.columns,
+        F.struct(*docs.columns).alias("row"),
         size_of(F.col("text")).alias("size"),
-        text_key(F.col("text")).alias("_text_key"),
-        id_key(F.col("doc_id")).alias("_id_key"),
+        text_key(F.col("text")).alias("text_key"),
+        id_key(F.col("doc_id")).alias("id_key"),
     )
-    keys = written(keyed.select(F.col("_text_key").alias("text_key"), F.col("_id_key").alias("id_key"), "size"))
+    keys = written(keyed.select("text_key", "id_key", "size"))
     cuts = splitters(keys, shards, tolerance)
     # Buckets divide the text keys evenly. One that a heavy text fills is divided further by id keys.
     n_rows = keys.count()
@@ -143,27 +144,16 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
         per_coarse.filter(F.col("n") > 2 * BUCKET_ROWS).select("coarse", F.expr(f"n div {BUCKET_ROWS} + 1").alias("parts"))
     )
 
-    def bucketed(frame: DataFrame, text: str, own: str) -> DataFrame:
-        at = F.shiftright(F.col(text), KEY_BITS - bits)
-        part = F.coalesce(F.pmod(F.col(own), F.col("parts")), F.lit(0))
-        shard = shard_of(F.col(text), F.col(own), cuts).alias("_shard")
-        joined = frame.join(full, at == F.col("coarse"), "left")
-        return joined.select(*frame.columns, shard, at.alias("_at"), part.alias("_part"))
-
-    counts = bucketed(keys, "text_key", "id_key").groupBy("_shard", "_at", "_part").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.selectExpr(
-        "_shard as s",
-        "_at as a",
-        "_part as p",
-        "sum(n) over (partition by _shard order by _at, _part rows between unbounded preceding and current row)"
-        " - n as start",
-    )
-    placed = bucketed(keyed, "_text_key", "_id_key")
-    same = (F.col("_shard") == F.col("s")) & (F.col("_at") == F.col("a")) & (F.col("_part") == F.col("p"))
-    joined = placed.join(starts, same)
-    position = F.expr(
-        "row_number() over (partition by _shard, _at, _part order by _text_key, _id_key, doc_id)"
-    )
-    return joined.select(
-        *docs.columns, "size", F.col("_shard").alias("shard"), (F.col("start") + position - 1).alias("slot")
-    )
+    def bucketed(frame: DataFrame) -> DataFrame:
+        part = F.coalesce(F.pmod(F.col("id_key"), F.col("parts")), F.lit(0))
+        shard = shard_of(F.col("text_key"), F.col("id_key"), cuts).alias("shard")
+        joined = frame.join(full, coarse == F.col("coarse"), "left")
+        return joined.select(*frame.columns, shard, coarse.alias("at"), part.alias("part"))
+
+    counts = bucketed(keys).groupBy("shard", "at", "part").agg(F.count(F.lit(1)).alias("n"))
+    # One row per bucket, some thousands of rows of the input each.
+    before = "sum(n) over (partition by shard order by at, part rows between unbounded preceding and current row) - n"
+    starts = counts.selectExpr("shard", "at", "part", f"{before} as start")
+    joined = bucketed(keyed).join(starts, ["shard", "at", "part"])
+    position = F.expr("row_number() over (partition by shard, at, part order by text_key, id_key, row.doc_id)")
+    return joined.select("row", "size", "shard", (F.col("start") + position - 1).alias("slot")).select("row.*", *RESULTS)
