@@ -7,14 +7,14 @@
    leader, and every member is paired with it, so a bucket of n members gives n - 1 pairs.
 3. The odd sketch folds MinHash samples (the least hash in each of ``SAMPLES`` ranges) into a parity bitmap;
    the population count of the XOR of two bitmaps estimates how many samples differ. Pairs whose estimate is
-   below the threshold by more than ``MARGIN`` go.
+   below the threshold by more than it may err go.
 4. Links are confirmed on the full sets, and components are made of them.
-5. Buckets that still hold several components are compared in blocks of at most ``BLOCK`` x ``BLOCK``
-   sketches; pairs across components that pass the sketch are confirmed on full sets like the others.
+5. Buckets that still hold several components are compared in blocks of about ``BLOCK`` x ``BLOCK`` sketches.
+   Of the pairs across components that pass the sketch, first each member's best one with each component is
+   confirmed on full sets; then, in buckets that still hold several components, every one.
 
 So every pair that shares a band is either in one component already or compared. A pair at the threshold
-shares no band with a probability of about 3e-6 at 0.8 and 2e-9 at 0.85, and the sketch errs by MARGIN with
-about as little.
+shares no band with a probability of about 3e-6 at 0.8 and 2e-9 at 0.85, and fails the sketch with about 3e-6.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text with one to four
 words has one shingle, all of them; rows that repeat a doc_id are one document with the shingles of one
@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm.components import components
 from tokenledger.llm.texts import blank_words, computed
+from tokenledger.operators.joins import fits_broadcast
 from tokenledger.session import written
 
 SHINGLE = 5
 BANDS, ROWS = 42, 6
-# Ranges of the odd sketch's samples, its bits, and how far its estimate may be below the threshold.
-SAMPLES, SKETCH_BITS, MARGIN = 1024, 2048, 0.06
+# Ranges of the odd sketch's samples, its bits, and how many standard deviations its estimate may be below the
+# threshold, which it is by chance once in 300,000 pairs.
+SAMPLES, SKETCH_BITS, DEVIATIONS = 1024, 2048, 4.5
 # Sketches compared at once.
 BLOCK = 512
 
@@ -92,18 +94,31 @@ def odd_sketch(values: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(parity).tobytes(), len(first)
 
 
-def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sketches with ``differ`` unequal bits may be of sets as similar as the threshold, given the sums
-    of both sketches' samples and of both sets' shingles.
+def estimated(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The similarity that sketches with ``differ`` unequal bits tell of sets near the threshold, and how far it
+    may be off, given the sums of both sketches' samples and of both sets' shingles.
 
     The similarity is the share of ranges with equal samples among the ranges that either set reaches. The
-    bits give the first, the size of the union at the threshold the second.
+    bits give the first, the size of the union at the threshold the second. It errs as a sample of the union
+    does, and by samples that meet in one bit.
     """
     left = np.maximum(1 - 2 * differ / SKETCH_BITS, 1 / SKETCH_BITS)
     equal = (samples + SKETCH_BITS / 2 * np.log(left)) / 2
     union = shingles_ / (1 + threshold)
     reached = SAMPLES * -np.expm1(-union / SAMPLES)
-    return equal >= (threshold - MARGIN) * reached
+    of_sample = threshold * (1 - threshold) / reached * (1 - reached / np.maximum(union, reached))
+    of_bits = 2 * (1 - threshold) ** 2 / SKETCH_BITS
+    return equal / reached, DEVIATIONS * np.sqrt(of_sample + of_bits)
+
+
+def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches may be of sets as similar as the threshold."""
+    similarity, margin = estimated(differ, samples, shingles_, threshold)
+    return similarity >= threshold - margin
+
+
+def fingerprint(values: np.ndarray) -> bytes:
+    return struct.pack(">q", len(values)) + xxhash.xxh128_digest(values.tobytes())
 
 
 def _signature(data: bytes | None) -> dict:
@@ -113,7 +128,7 @@ def _signature(data: bytes | None) -> dict:
     sketch, n_samples = odd_sketch(values)
     return {
         "n_shingles": len(values),
-        "fingerprint": struct.pack(">q", len(values)) + xxhash.xxh128_digest(values.tobytes()),
+        "fingerprint": fingerprint(values),
         "bands": bands_of(values).view(np.int64).tolist(),
         "sketch": sketch,
         "n_samples": n_samples,
@@ -160,20 +175,19 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are as similar as the threshold. Sets are made again for their texts only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    known = classes.select("doc_id", "fingerprint")
-    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-
-    def values(data: bytes | None) -> dict:
+    known = classes.select("doc_id", F.col("fingerprint").alias("expected"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = written(known.join(wanted, "doc_id").withColumnRenamed("doc_id", "wanted"))
+    small = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    chosen = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("wanted"))
+
+    def values(data: bytes | None, expected: bytes) -> dict:
+        # Ids may repeat with other texts; the one that stands for its class counts.
         found = shingles(data)
-        return {"values": found.tobytes(), "fingerprint": struct.pack(">q", len(found)) + xxhash.xxh128_digest(found.tobytes())}
-
-    made = chosen.select(
-        F.col("doc_id"), computed(values, "values: binary, fingerprint: binary", F.col("text").cast("binary")).alias("v")
-    ).select("doc_id", "v.values", "v.fingerprint")
-    # Ids may repeat with other texts; the one that stands for its class counts, once.
-    sets = made.join(known, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.select("doc_id", "values"))
+        return {"values": found.tobytes() if fingerprint(found) == expected else None}
+
+    made = chosen.select("doc_id", computed(values, "values: binary", F.col("text").cast("binary"), F.col("expected"))["values"].alias("values"))
+    sets = written(made.filter(F.col("values").isNotNull()).dropDuplicates(["doc_id"]))
     one, two = sets.toDF("id_a", "set_a"), sets.toDF("id_b", "set_b")
 
     @F.pandas_udf("boolean")
@@ -199,8 +213,9 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
     return joined.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of bucket members in different components that pass the sketch, by blocks of each bucket."""
+def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Pairs of bucket members in different components that pass the sketch, by blocks of each bucket; with
+    ``best`` only the most similar one of each member and component of a block."""
     # Both members of a bucket of two have been compared.
     wide = members.filter(F.col("n_members") > 2).join(labels, F.col("doc_id") == F.col("node"), "left")
     wide = wide.select("band", "doc_id", "n_members", F.coalesce("component", "doc_id").alias("component"))
@@ -245,7 +260,12 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
         for i in first:
             others = second[(labels_[second] != labels_[i])]
             differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            passed = others[could_link(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)]
+            similarity, margin = estimated(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)
+            passing = similarity >= threshold - margin
+            passed = others[passing]
+            if best:
+                passed = passed[np.argsort(-similarity[passing], kind="stable")]
+                passed = passed[np.unique(labels_[passed], return_index=True)[1]]
             found.append(np.stack([np.minimum(ids[passed], ids[i]), np.maximum(ids[passed], ids[i])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -274,11 +294,15 @@ def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = written(_sketched(_leader_pairs(members), classes, threshold))
     links = written(_confirmed(pairs, classes, docs, percent))
     labels = components(links)
-    cross = _cross_pairs(members, labels, classes, threshold)
-    cross = written(cross.join(pairs, ["a", "b"], "left_anti"))
-    more = written(_confirmed(cross, classes, docs, percent))
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    seen = pairs
+    for best in (True, False):
+        cross = _cross_pairs(members, labels, classes, threshold, best)
+        cross = written(cross.join(seen, ["a", "b"], "left_anti"))
+        if cross.isEmpty():
+            continue
+        seen = seen.unionAll(cross)
+        links = written(links.unionAll(_confirmed(cross, classes, docs, percent)))
+        labels = components(links)
 
     classed = first.join(labels, F.col("of_class") == F.col("node"), "left")
     classed = classed.select(F.col("fingerprint").alias("key"), F.coalesce("component", "of_class").alias("component"))
