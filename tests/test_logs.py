@@ -110,7 +110,7 @@ def test_session_files(spark, tmp_path):
     assert kinds(session_events.session_facts(recent)) == [("output", 2)]
     same_day = instant(F.lit("2001-09-10T00:00:00Z"))
     assert logs.session_lines(spark, str(root), touched_since=same_day).count() == 3
-    listing = logs.file_listing(spark, [str(root)], recursive=True)
+    listing = logs.file_listing(spark, [str(root)], pattern="*.jsonl", recursive=True)
     assert {os.path.basename(r.file) for r in logs.unread_files(listing, read).collect()} == {"no.jsonl"}
 
 
@@ -236,6 +236,57 @@ def test_threads_and_their_files(spark):
     assert malformed.first()[0] == 2
 
 
+def test_paths_are_compared_in_one_form(spark):
+    paths = ["/h/x/../x/r.jsonl", "./x/r.jsonl", "x//r.jsonl", "x/r.log", "../h/x/r.jsonl", "s3a://b/h//x/./r.jsonl"]
+    table = spark.createDataFrame(list(enumerate(paths)), "id int, rollout_path string")
+    files = spark.createDataFrame([("file:///h/x/r.jsonl",), ("file:///h/x/r.log",), ("s3a://b/h/x/r.jsonl",)], "file string")
+    assert rows(resolve_rollouts(table, files, "/h"), "id", "path", "present") == [
+        (0, "/h/x/r.jsonl", True),
+        (1, "/h/x/r.jsonl", True),
+        (2, "/h/x/r.jsonl", True),
+        (3, "/h/x/r.log", True),
+        (4, "/h/x/r.jsonl", True),
+        (5, "s3a://b/h/x/r.jsonl", True),
+    ]
+
+
+def test_an_absent_root_takes_no_other_with_it(spark, tmp_path):
+    (tmp_path / "there").mkdir()
+    (tmp_path / "there" / "r.log").write_text(total(AT, 5, 0, 0))
+    roots = [str(tmp_path / "absent"), str(tmp_path / "there")]
+    assert logs.rollout_lines(spark, roots).count() == 1
+    listing = logs.file_listing(spark, roots, recursive=True)
+    assert [os.path.basename(r.file) for r in listing.collect()] == ["r.log"]
+    assert logs.rollout_lines(spark, roots[:1]).count() == 0
+
+
+def test_vanished_files_are_counted(spark):
+    made = [(f"file:///{name}", size) for name, size in (("a", 1), ("b", 1), ("c", 0), ("d", 1))]
+    before = spark.createDataFrame(made, "file string, size bigint")
+    after = before.filter("file = 'file:///d'")
+    events = before.select("file").filter("file = 'file:///a'")
+    gone = logs.vanished_files(before, after, events)
+    assert [r.file for r in gone.collect()] == ["file:///b"]
+    assert quality.skipped_files(gone).first()[0] == 1
+
+
+def test_text_around_a_line_makes_it_malformed(spark):
+    good = '{"type":"assistant"}'
+    broken = [
+        good + ',"k":2',
+        "1,\"event\":" + good,
+        '{"a":1}],"event":[{"a":2}',
+        good + good,
+        good + "]",
+        '"k":' + good,
+        good + ',"complete":true}',
+    ]
+    parsed = logs.parse_lines(lines(spark, {"f": [good, f" {good} ", *broken, "[1]", "7", "null"]}), logs.SESSION_EVENT)
+    found = {r.line: r.malformed for r in parsed.collect()}
+    assert not found[good] and not found[f" {good} "]
+    assert all(malformed for line, malformed in found.items() if line.strip() != good), found
+
+
 def test_reconciliation(spark):
     own = {"exact": 10_000, "close": 10_090, "far": 10_200, "none": 0}
     made = threads(spark, *[(name, name, "m", n) for name, n in own.items()])

@@ -1,6 +1,7 @@
 """Whole jobs over files: logs and threads in, reports and documents out."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,11 @@ from tests.helpers import catalog, period, rows
 from tests.test_logs import assistant, started, total
 
 from tokenledger.fixed_values import FACT_COLUMNS, REPORT_COLUMNS
+from tokenledger.operators import pricing
 from tokenledger.plans import usage
+from tokenledger.session import remove_written, run_dir
 from tokenledger.sinks import export, report_files
+from tokenledger.sources.catalog import Catalog
 
 PRICES = period("x-1", "2026-01-01", None, input_nocache="5.0", cache_read="0.5", cache_write_5m="6.25", output="30.0")
 MODELS = (
@@ -149,6 +153,43 @@ def test_no_source(spark, prices):
         usage.usage_report(spark, usage.Sources(), prices)
 
 
+def test_bad_bounds_fail_before_anything_is_read(spark, prices):
+    nowhere = usage.Sources(session_root="no-such-scheme://x")
+    for options in ({"since": "soon"}, {"until": "2026-13-01"}, {"timezone": "Mars/Base"}):
+        for job in (
+            lambda **o: usage.usage_report(spark, nowhere, prices, **o),
+            lambda **o: usage.export_facts(spark, nowhere, **o),
+            lambda **o: usage.measure(spark, nowhere, prices, spark.range(0).selectExpr("'' as session_id"), **o),
+        ):
+            with pytest.raises(Exception, match=r"invalid date/time|INVALID_TIMEZONE|[Tt]ime ?zone|Mars"):
+                job(**options)
+
+
+def test_two_catalogs_are_refused_before_anything_is_read(spark, prices):
+    twice = Catalog(prices.headers.unionAll(prices.headers), prices.entries.unionAll(prices.entries))
+    with pytest.raises(Exception, match="exactly one"):
+        usage.usage_report(spark, usage.Sources(session_root="no-such-scheme://x"), twice)
+    with pytest.raises(Exception, match="exactly one"):
+        pricing.price_book(twice)
+
+
+def test_old_files_are_pruned_on_request(spark, prices, sources):
+    whole, _ = usage.usage_report(spark, sources, prices, since="2020-01-01", prune_files=True)
+    assert whole.agg(F.sum("tokens")).first()[0] == 1517 + 187
+    none, _ = usage.usage_report(spark, sources, prices, since="2999-01-01", prune_files=True)
+    assert none.count() == 0
+
+
+def test_the_run_folder_can_be_removed(spark, sources, prices, tmp_path):
+    shown, _ = usage.usage_report(spark, sources, prices, group_by=["agent"])
+    report_files.write_report_json(shown, str(tmp_path / "out"))
+    folder = Path(run_dir(spark).removeprefix("file:"))
+    assert folder.exists()
+    remove_written(spark)
+    assert not folder.exists()
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
 def test_missing_folders_are_no_error(spark, prices, tmp_path):
     gone = usage.Sources(session_root=str(tmp_path / "gone"))
     shown, counters = usage.usage_report(spark, gone, prices)

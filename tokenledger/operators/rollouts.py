@@ -11,6 +11,7 @@ from tokenledger.functions.models import model_key, rollout_mode
 from tokenledger.functions.times import instant
 from tokenledger.operators.ordering import carry_along
 from tokenledger.sources.logs import ROLLOUT_EVENT, parse_lines, plain_path
+from tokenledger.sources.threads import normal_path
 
 _TOTALS = "event.payload.info.total_token_usage"
 # Names of the counters here, and in a snapshot.
@@ -110,19 +111,21 @@ def source_quality() -> Column:
 
 
 def delta_facts(increments: DataFrame) -> DataFrame:
-    """Facts of increments that carry ``thread_id`` and ``model``. A channel that went back gives none."""
+    """Facts of increments that carry ``thread_id`` and ``model``, and its key where it was worked out per
+    thread. A channel that went back gives none."""
     forward = (F.col("d_input") >= 0) & (F.col("d_cached") >= 0)
     amounts = {
         "input_nocache": F.when(forward, uncached_input()),
         "cache_read": F.when(forward, F.col("d_cached")),
         "output": F.col("d_output"),
     }
+    key = F.col("model_key") if "model_key" in increments.columns else model_key(F.col("model"))
     long = increments.select(
         "occurred_at_utc",
         F.lit("codex").alias("agent"),
         F.col("thread_id").alias("session_id"),
         F.col("model").alias("model_raw"),
-        model_key(F.col("model")).alias("model_key"),
+        key.alias("model_key"),
         rollout_mode(F.col("model"), F.col("collaboration_mode")).alias("mode"),
         source_quality().alias("source_quality"),
         F.inline(
@@ -139,9 +142,9 @@ def delta_facts(increments: DataFrame) -> DataFrame:
 
 def by_file(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Threads whose log exists, keyed by ``file`` as the line frame names it: what :func:`deltas` takes."""
-    names = files.select("file", plain_path(F.col("file")).alias("path")).distinct()
+    names = files.select("file", normal_path(plain_path(F.col("file"))).alias("path")).distinct()
     return resolved.filter("present").join(names, "path").select(
-        "file", F.col("id").alias("thread_id"), "model", "tokens_used"
+        "file", F.col("id").alias("thread_id"), "model", model_key(F.col("model")).alias("model_key"), "tokens_used"
     )
 
 

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import AGENTS, REPORT_DIMENSIONS
 from tokenledger.functions.times import required_window_bound
 from tokenledger.operators import facts as fact_ops
 from tokenledger.operators import quality, report, rollouts, session_events
 from tokenledger.operators.integrity import violations
+from tokenledger.operators.joins import lookup
 from tokenledger.session import use_utc, written
 from tokenledger.sinks import report_files
 from tokenledger.sources import logs
@@ -40,11 +42,21 @@ class Collected:
 def load_catalog(spark: SparkSession, path: str) -> Catalog:
     """A catalog document that passed all integrity checks."""
     catalog = catalog_from_documents(documents(spark, path))
-    broken = violations(catalog).limit(20).collect()
-    if broken:
-        found = "; ".join(f"{row.rule}: {row.subject}" for row in broken)
+    # One row per rule, of which there is a fixed number.
+    faults = violations(catalog).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("example"))
+    if broken := faults.orderBy("rule").collect():
+        found = "; ".join(f"{row.rule}: {row.n}, such as {row.example}" for row in broken)
         raise PySparkException(f"rate catalog {path} is invalid: {found}")
-    return catalog
+    return catalog.require_single()
+
+
+def check_window(spark: SparkSession, since: str | None, until: str | None, timezone: str) -> None:
+    """Fails on an unreadable bound or an unknown zone, before anything is read."""
+    moment = F.lit("2000-01-01").cast("timestamp")
+    bounds = [required_window_bound(bound, timezone) for bound in (since, until)]
+    spark.range(1).select(
+        F.from_utc_timestamp(moment, timezone), *(bound for bound in bounds if bound is not None)
+    ).collect()
 
 
 def collect_usage(
@@ -53,9 +65,9 @@ def collect_usage(
     *,
     agents: Sequence[str] = AGENTS,
     include_archived: bool = True,
-    touched_since=None,
+    touched_since: Column | None = None,
 ) -> Collected:
-    """Facts of all sources with the counters of everything scanned.
+    """Facts of all sources with the counters of everything scanned, files not touched since then left out.
 
     Parsed lines and increments are read by several branches, so they are written once to the shared
     folder: the logs themselves, by far the largest data, are scanned a single time.
@@ -63,19 +75,29 @@ def collect_usage(
     use_utc(spark)
     parts, counters, reconciliation = [], [], None
     if "claude" in agents and sources.session_root:
+        paths = [logs.session_glob(sources.session_root)]
+        listed = written(logs.file_listing(spark, paths, touched_since=touched_since))
         lines = logs.session_lines(spark, sources.session_root, touched_since=touched_since)
         events = written(session_events.read_events(lines))
+        vanished = logs.vanished_files(listed, logs.file_listing(spark, paths), events)
         parts.append(session_events.usage_facts(session_events.fill_session_id(events)))
-        counters.append(quality.malformed_events(events))
+        counters += [quality.malformed_events(events), quality.skipped_files(vanished)]
     if "codex" in agents and sources.threads is not None:
         home = sources.rollout_home or ""
         roots = list(sources.rollout_roots) or [home]
         files = logs.file_listing(spark, roots, recursive=True)
         threads = select_threads(sources.threads, include_archived=include_archived)
         resolved = written(resolve_rollouts(threads, files, home))
-        by_file = rollouts.by_file(resolved, files)
+        by_file = written(rollouts.by_file(resolved, files))
         lines = logs.rollout_lines(spark, roots, touched_since=touched_since)
+        # Only files that a thread names are parsed, whatever else is below the folders.
+        named = by_file.select(F.col("file").alias("named_file")).distinct()
+        lines = lookup(lines, named, {"file": "named_file"}, how="left_semi")
         events = written(rollouts.read_events(lines))
+        listed = by_file.select("file").distinct().join(files, "file")
+        if touched_since is not None:
+            listed = listed.filter(logs.may_hold(F.col("modified_at"), touched_since))
+        vanished = logs.vanished_files(listed, logs.file_listing(spark, roots, recursive=True), events)
         increments = written(rollouts.deltas(events, by_file))
         per_thread = rollouts.thread_counters(increments)
         parts.append(rollouts.delta_facts(increments))
@@ -83,6 +105,7 @@ def collect_usage(
             quality.malformed_rollout_events(events, by_file),
             quality.negative_deltas(per_thread),
             quality.skipped_threads(resolved),
+            quality.skipped_files(vanished),
         ]
         reconciliation = quality.reconcile(by_file, per_thread)
     if not parts:
@@ -114,9 +137,19 @@ def usage_report(
     until: str | None = None,
     timezone: str = "UTC",
     include_archived: bool = True,
+    prune_files: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ordered report rows, and the one-row frame of data-quality counters."""
-    collected = collect_usage(spark, sources, agents=agents, include_archived=include_archived)
+    """Ordered report rows, and the one-row frame of data-quality counters.
+
+    With ``prune_files`` logs that were last written well before ``since`` are not read; the counters then
+    describe the others.
+    """
+    check_window(spark, since, until, timezone)
+    catalog.require_single()
+    touched = required_window_bound(since, timezone) if prune_files else None
+    collected = collect_usage(
+        spark, sources, agents=agents, include_archived=include_archived, touched_since=touched
+    )
     facts = selected_facts(collected, agents=agents, since=since, until=until, timezone=timezone)
     rows = report.usage_report(facts, catalog, group_by=group_by, timezone=timezone)
     counters = quality.data_quality(*collected.counters, quality.unpriced_tokens(rows))
@@ -139,10 +172,16 @@ def usage_document(
     )
 
 
-def export_facts(spark: SparkSession, sources: Sources, **options) -> DataFrame:
+def _collected_in_window(spark: SparkSession, sources: Sources, *, prune_files: bool = False, **options) -> Collected:
+    since, until, zone = options.get("since"), options.get("until"), options.get("timezone", "UTC")
+    check_window(spark, since, until, zone)
+    touched = required_window_bound(since, zone) if prune_files else None
+    return collect_usage(spark, sources, agents=options.get("agents", AGENTS), touched_since=touched)
+
+
+def export_facts(spark: SparkSession, sources: Sources, *, prune_files: bool = False, **options) -> DataFrame:
     """Facts of all threads, archived ones too, in a window; see :mod:`tokenledger.sinks.export`."""
-    agents = options.get("agents", AGENTS)
-    return selected_facts(collect_usage(spark, sources, agents=agents), **options)
+    return selected_facts(_collected_in_window(spark, sources, prune_files=prune_files, **options), **options)
 
 
 def measure(
@@ -150,6 +189,8 @@ def measure(
     sources: Sources,
     catalog: Catalog,
     session_ids: DataFrame,
+    *,
+    prune_files: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digest of the requested sessions, counters, and counts of source qualities.
@@ -157,8 +198,8 @@ def measure(
     Unpriced tokens and source qualities are those of the requested sessions, the other counters
     describe everything that was read.
     """
-    agents = options.get("agents", AGENTS)
-    collected = collect_usage(spark, sources, agents=agents)
+    catalog.require_single()
+    collected = _collected_in_window(spark, sources, prune_files=prune_files, **options)
     facts = selected_facts(collected, **options)
     digest = report.measure_sessions(facts, catalog, session_ids)
     unpriced = quality.unpriced_tokens(digest.filter("scope = 'total'"))

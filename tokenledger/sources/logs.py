@@ -7,7 +7,6 @@ needs a whole file in one place.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +38,22 @@ def without_scheme(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^file:/+", "/")
 
 
-def _existing(read, spark: SparkSession, schema: str) -> DataFrame:
-    try:
-        return read()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The folders or patterns that are there, each looked up on its own: an absent one takes none with it."""
+    context = spark.sparkContext
+    hadoop, conf = context._jvm.org.apache.hadoop, context._jsc.hadoopConfiguration()
+
+    def matches(path: str) -> bool:
+        pattern = hadoop.fs.Path(path)
+        found = pattern.getFileSystem(conf).globStatus(pattern)
+        return found is not None and len(found) > 0
+
+    return [path for path in paths if matches(path)]
 
 
 def _lines(text: DataFrame, touched_since: Column | None) -> DataFrame:
     if touched_since is not None:
-        text = text.filter(_may_hold(F.col("_metadata.file_modification_time"), touched_since))
+        text = text.filter(may_hold(F.col("_metadata.file_modification_time"), touched_since))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -59,12 +62,17 @@ def _lines(text: DataFrame, touched_since: Column | None) -> DataFrame:
     )
 
 
-def _may_hold(modified_at: Column, since: Column) -> Column:
+def may_hold(modified_at: Column, since: Column) -> Column:
     """Whether a file can hold events from ``since`` on. Only ever prunes on the early side: a file
     written late may still hold early events."""
     return modified_at >= since - F.expr(FILE_AGE_SLACK)
 
 
+def session_glob(root: str, pattern: str = "*.jsonl") -> str:
+    """Session logs are exactly one folder below their root."""
+    return f"{root.rstrip('/')}/*/{pattern}"
+
+
 def session_lines(
     spark: SparkSession,
     root: str,
@@ -72,48 +80,53 @@ def session_lines(
     pattern: str = "*.jsonl",
     touched_since: Column | None = None,
 ) -> DataFrame:
-    """Lines of every session log exactly one folder below ``root``; none when there is no such folder."""
-    glob = f"{root.rstrip('/')}/*/{pattern}"
-    reader = spark.read.option("ignoreMissingFiles", "true")
-    return _existing(lambda: _lines(reader.text(glob), touched_since), spark, LINE_SCHEMA)
+    """Lines of every session log; none when there is no such folder.
+
+    A log may be removed while others are read: it is left out, and :func:`vanished_files` counts it.
+    """
+    glob = session_glob(root, pattern)
+    if not existing(spark, [glob]):
+        return spark.createDataFrame([], LINE_SCHEMA)
+    return _lines(spark.read.option("ignoreMissingFiles", "true").text(glob), touched_since)
 
 
 def rollout_lines(
     spark: SparkSession,
     roots: list[str],
     *,
-    pattern: str = "*.jsonl",
+    pattern: str = "*",
     touched_since: Column | None = None,
 ) -> DataFrame:
-    """Lines of every rollout log anywhere below the given folders."""
-    reader = (
-        spark.read.option("ignoreMissingFiles", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-    )
-    return _existing(lambda: _lines(reader.text(roots), touched_since), spark, LINE_SCHEMA)
+    """Lines of every file anywhere below the given folders, whatever its ending; callers keep those that a
+    thread names. Removed files are left out as in :func:`session_lines`."""
+    there = existing(spark, roots)
+    if not there:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    options = {"ignoreMissingFiles": "true", "recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    return _lines(spark.read.options(**options).text(there), touched_since)
 
 
 def file_listing(
-    spark: SparkSession, paths: list[str], *, pattern: str = "*.jsonl", recursive: bool = False
+    spark: SparkSession,
+    paths: list[str],
+    *,
+    pattern: str = "*",
+    recursive: bool = False,
+    touched_since: Column | None = None,
 ) -> DataFrame:
-    """Names, times and sizes of log files; their content is not read."""
-
-    def read() -> DataFrame:
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-        if recursive:
-            reader = reader.option("recursiveFileLookup", "true")
-        return reader.load(paths).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("modificationTime").alias("modified_at"),
-            F.col("length").alias("size"),
-        )
-
-    return _existing(read, spark, LISTING_SCHEMA)
-
-
-def files_touched_since(listing: DataFrame, since: Column) -> DataFrame:
-    return listing.filter(_may_hold(F.col("modified_at"), since))
+    """Names, times and sizes of files; their content is not read."""
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    listing = reader.load(there).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("modificationTime").alias("modified_at"),
+        F.col("length").alias("size"),
+    )
+    return listing if touched_since is None else listing.filter(may_hold(F.col("modified_at"), touched_since))
 
 
 def unread_files(listing: DataFrame, lines: DataFrame) -> DataFrame:
@@ -122,12 +135,19 @@ def unread_files(listing: DataFrame, lines: DataFrame) -> DataFrame:
     return listing.filter(F.col("size") > 0).join(seen, "file", "left_anti")
 
 
+def vanished_files(before: DataFrame, after: DataFrame, events: DataFrame) -> DataFrame:
+    """Listed, non-empty files that were gone after reading and gave no event. Unlike :func:`unread_files`
+    this needs no second pass over lines."""
+    return unread_files(before, events).join(after.select("file"), "file", "left_anti")
+
+
 def parse_lines(lines: DataFrame, event_type: str) -> DataFrame:
     """Each line with its ``event``; blank lines are neither events nor malformed.
 
     Only the fields of ``event_type`` are materialised, whatever else a line holds is skipped while
     scanning it. The line is read inside an envelope whose last field is only reached when the line
-    is one complete JSON value, so trailing text makes it malformed.
+    is complete JSON, and it has to be the only element of an array: text that closes the envelope or adds
+    members to it is no array of one.
 
     Adds ``blank``, ``malformed`` (not a JSON object) and ``ill_typed`` (an object, but some field
     of ``event_type`` is of another JSON type; that field is null).
@@ -140,7 +160,8 @@ def parse_lines(lines: DataFrame, event_type: str) -> DataFrame:
     # Inlined as an array of one: a filter on what was parsed stays above, and never parses again.
     parsed = lines.select("*", F.inline(F.array(envelope)))
     blank = F.col("line").rlike(rf"^[{SPACES}]*$")
-    is_object = F.coalesce(F.col("complete"), F.lit(False)) & F.col("event").isNotNull()
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("line"), F.lit("]"))) == 1, F.lit(False))
+    is_object = F.coalesce(F.col("complete"), F.lit(False)) & F.col("event").isNotNull() & alone
     return parsed.select(
         *lines.columns,
         blank.alias("blank"),

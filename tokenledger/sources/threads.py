@@ -37,14 +37,29 @@ def rollout_file(rollout_path: Column, home: str) -> Column:
     return F.when(named.rlike(_ABSOLUTE), named).otherwise(below_home)
 
 
+def normal_path(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty parts. A scheme and its authority stay as they are."""
+    prefix = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?", 0)
+    rest = F.substring(path, F.length(prefix) + 1, F.length(path))
+    parts = F.filter(F.split(rest, "/"), lambda part: (part != "") & (part != "."))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts,
+        none,
+        lambda before, part: F.when(part == "..", F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0))))
+        .otherwise(F.concat(before, F.array(part))),
+    )
+    return F.concat(prefix, F.lit("/"), F.array_join(kept, "/"))
+
+
 def resolve_rollouts(threads: DataFrame, files: DataFrame, home: str) -> DataFrame:
     """Threads that name a log, with its ``path`` and whether it is among ``files``.
 
     Threads without a path are left out uncounted; threads whose file is absent stay, as skipped.
-    Several threads may share one file.
+    Several threads may share one file. A log outside every folder that ``files`` lists is absent too.
     """
-    named = threads.withColumn("path", without_scheme(rollout_file(F.col("rollout_path"), home)))
-    present = files.select(plain_path(F.col("file")).alias("path")).distinct()
+    named = threads.withColumn("path", normal_path(without_scheme(rollout_file(F.col("rollout_path"), home))))
+    present = files.select(normal_path(plain_path(F.col("file"))).alias("path")).distinct()
     return (
         named.filter(F.col("path").isNotNull())
         .join(present.withColumn("present", F.lit(True)), "path", "left")
