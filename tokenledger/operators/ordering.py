@@ -73,19 +73,22 @@ def carry_along(
 def running_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
     """Add running sums of expressions up to and including each row within ``keys``."""
     parts = [*keys, "block"]
+    # Packed in a struct, so that both branches want the same shuffle, as in carry_along.
+    packed = rows.withColumns({f"_{name}": value for name, value in totals.items()})
+    shared = packed.select(*parts, "pos", F.struct(*packed.columns).alias("row")).repartition(*parts)
     upto = Window.partitionBy(*parts).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.select(
-        "*", *[F.sum(value).over(upto).alias(f"_{name}") for name, value in totals.items()]
+    inside = shared.select(
+        *parts, "row", *[F.sum(f"row._{name}").over(upto).alias(f"_in_{name}") for name in totals]
     )
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*parts).agg(*[F.sum(v).alias(name) for name, v in totals.items()])
+    blocks = shared.groupBy(*parts).agg(*[F.sum(f"row._{name}").alias(name) for name in totals])
     carried = blocks.select(
         *parts, *[F.sum(name).over(earlier).alias(f"_before_{name}") for name in totals]
     )
     return inside.join(carried, parts).select(
-        *rows.columns,
+        *[F.col(f"row.{c}") for c in rows.columns],
         *[
-            (F.col(f"_{name}") + F.coalesce(f"_before_{name}", F.lit(0))).alias(name)
+            (F.col(f"_in_{name}") + F.coalesce(f"_before_{name}", F.lit(0))).alias(name)
             for name in totals
         ],
     )
