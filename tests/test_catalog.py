@@ -28,7 +28,7 @@ def test_document_file(spark, tmp_path):
 def test_invalid_documents_are_refused(spark, tmp_path):
     path = tmp_path / "rates.json"
     path.write_text(document(A, A))
-    with pytest.raises(Exception, match="duplicate model: a"):
+    with pytest.raises(Exception, match="duplicate model: 1, such as a"):
         load_catalog(spark, str(path))
     path.write_text("{broken")
     with pytest.raises(Exception):
@@ -94,7 +94,13 @@ def test_each_violation(spark):
         ([entry(aliases=["x"]), entry("b", ["x"])], ("duplicate alias", "x")),
         ([entry(rates=[{**OLD, "output": "-1"}])], ("value", "a a-1 output negative")),
         ([entry(rates=[{**OLD, "output": "abc"}])], ("value", "a a-1 output not a decimal")),
-        ([entry(rates=[{**OLD, "output": "0.0000001"}])], ("value", "a a-1 output too fine")),
+        ([entry(rates=[{**OLD, "output": "0.0000000001"}])], ("value", "a a-1 output too fine")),
+        ([entry(rates=[{**OLD, "output": "1e9"}])], ("value", "a a-1 output too large")),
+        ([entry(rates=[{**OLD, "output": "NaN"}])], ("value", "a a-1 output not a decimal")),
+        ([entry(fast_multiplier="1.0000001")], ("value", "a - fast_multiplier too fine")),
+        ([entry(rates=[{**OLD, "output": "10000000"}])], ("value", "a a-1 output too large per token")),
+        ([entry(rates=[{**OLD, "output": "0.123456789"}], fast_multiplier="1.125")], ("value", "a a-1 output too fine per token")),
+        ([entry(rates=[{**OLD, "output": "900000"}], fast_multiplier="900000")], ("value", "a a-1 output too large per token")),
         ([entry(fast_multiplier="-2")], ("value", "a - fast_multiplier negative")),
         ([entry(credits_per_mtok={"output": "-3"})], ("value", "a - credits.output negative")),
         ([entry(rates=[{**OLD, "effective_from": "soon"}])], ("period bounds", "a a-1 unreadable effective_from")),
@@ -121,6 +127,24 @@ def test_overlap_with_very_many_periods(spark):
     assert found == sorted((f"r{i - 1}", f"r{i}") for i in range(99, 3000, 100))
 
 
+def test_wide_and_fine_prices_are_exact(spark):
+    prices = {"output": "2000000", "input_nocache": "0.123456789", "cache_read": "5"}
+    made = catalog(spark, entry(fast_multiplier="1.125", rates=[period("r", "2020-01-01", None, output="2000000", cache_read="5")]),
+                   entry("b", rates=[period("s", "2020-01-01", None, **prices)]))
+    assert rows(integrity.violations(made), "rule") == []
+    used = [("2026-01-01", "claude", "s", m, k, 1_000_000, mode) for m, k, mode in (
+        ("a", "output", "normal"), ("a", "cache_read", "fast"), ("b", "input_nocache", "normal"))]
+    priced = pricing.price_facts(facts(spark, *used), made)
+    assert [str(c[0].normalize()) for c in rows(priced, "estimated_cost_usd")] == ["0.123456789", "5.625", "2E+6"]
+
+
+@pytest.mark.parametrize("written, multiplier", [("1e9", None), ("0.0000000001", None), ("abc", None), ("900000", "900000")])
+def test_inexact_prices_fail_instead_of_being_unpriced(spark, written, multiplier):
+    made = catalog(spark, entry(fast_multiplier=multiplier, rates=[period("r", "2020-01-01", None, output=written)]))
+    with pytest.raises(Exception, match="no exact"):
+        pricing.price_facts(facts(spark, ("2026-01-01", "claude", "s", "a", "output", 1, "fast")), made).collect()
+
+
 def test_credits_match_prices(spark):
     good = entry(credits_per_mtok={"input_nocache": "25", "output": "50"}, rates=[OLD])
     bad = entry("b", credits_per_mtok={"input_nocache": "30"}, rates=[OLD])

@@ -12,7 +12,7 @@ def text_cell(value: Column) -> Column:
 
 def _fixed(value: Column, digits: int) -> Column:
     # Rounding the decimal first pins ties; a decimal prints all its digits.
-    return F.round(value.cast("decimal(38,14)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.round(value.cast("decimal(38,17)"), digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def cost_cell(value: Column) -> Column:

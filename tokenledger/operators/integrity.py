@@ -13,7 +13,8 @@ from tokenledger.fixed_values import (
 )
 from tokenledger.operators.joins import lookup
 from tokenledger.operators.ordering import carry_along
-from tokenledger.sources.catalog import RATE, Catalog, all_names, usd_per_credit
+from tokenledger.operators.pricing import unit_price
+from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog, all_names, held_exactly, usd_per_credit
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -82,9 +83,12 @@ def duplicate_aliases(catalog: Catalog) -> DataFrame:
     )
 
 
+_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def value_violations(catalog: Catalog) -> DataFrame:
-    """Prices, credits, multipliers and credit prices that are no decimal, negative, or finer than
-    the decimals this library computes in."""
+    """Prices, credits, multipliers and credit prices that are no decimal, negative, or that the decimals
+    this library computes in do not hold exactly; also prices per token, fast or not."""
     rates = catalog.rates.select("catalog_id", "model_key", "rate_id", F.col("rate_field").alias("field"), "written")
     none = F.lit(None).cast("string").alias("rate_id")
     credits = catalog.credits.select(
@@ -105,19 +109,43 @@ def value_violations(catalog: Catalog) -> DataFrame:
         F.col("usd_per_credit").alias("written"),
     )
     values = rates.unionByName(credits).unionByName(multipliers).unionByName(credit_price)
-    value = F.col("written").try_cast("decimal(38,18)")
-    digits = F.when(F.col("field") == "fast_multiplier", 2).otherwise(6)
+    written, is_multiplier = F.col("written"), F.col("field") == "fast_multiplier"
+    held = F.when(is_multiplier, held_exactly(written, MULTIPLIER).isNotNull()).otherwise(
+        held_exactly(written, RATE).isNotNull()
+    )
+    # Both types leave as many digits before the point as a double tells apart exactly.
+    limit = F.when(is_multiplier, F.lit(1e6)).otherwise(F.lit(1e9))
+    number = written.try_cast("double")
     reason = (
-        F.when(value.isNull(), "not a decimal")
-        .when(value < 0, "negative")
-        .when((digits == 2) & (value != F.round(value, 2)), "too fine")
-        .when(value != F.round(value, 6), "too fine")
+        F.when(~written.rlike(_DECIMAL), "not a decimal")
+        .when(number < 0, "negative")
+        .when(~held, F.when(number >= limit, "too large").otherwise("too fine"))
     )
-    return (
-        values.filter(F.col("written").isNotNull())
-        .withColumn("reason", reason)
-        .filter(F.col("reason").isNotNull())
+    broken = values.filter(written.isNotNull()).withColumn("reason", reason)
+    return broken.filter(F.col("reason").isNotNull()).unionByName(_unit_price_violations(catalog))
+
+
+def _unit_price_violations(catalog: Catalog) -> DataFrame:
+    """Prices that are fine as written, but not per token."""
+    multiplier = F.coalesce(held_exactly(F.col("fast_multiplier"), MULTIPLIER), F.lit(1).cast(MULTIPLIER))
+    priced = catalog.entries.select(
+        "catalog_id", "model_key", multiplier.alias("multiplier"), "credits_per_mtok", F.explode_outer("rates").alias("rate")
     )
+    fields = [
+        F.struct(rate_id.alias("rate_id"), F.lit(f"{prefix}{field}").alias("field"), F.col(f"{column}.{field}").alias("written"))
+        for column, prefix, rate_id in (
+            ("rate", "", F.col("rate.rate_id")),
+            ("credits_per_mtok", "credits.", F.lit(None).cast("string")),
+        )
+        for field in RATE_FIELDS
+    ]
+    values = priced.select("catalog_id", "model_key", "multiplier", F.inline(F.array(*fields))).distinct()
+    price, one = held_exactly(F.col("written"), RATE), F.lit(1).cast(MULTIPLIER)
+    plain, fast = unit_price(price, one), unit_price(price, F.col("multiplier"))
+    largest = price.cast("double") * F.greatest(F.col("multiplier").cast("double"), F.lit(1.0))
+    broken = values.filter((price >= 0) & (F.col("multiplier") >= 0) & (plain.isNull() | fast.isNull()))
+    reason = F.when(largest >= 1e7, "too large per token").otherwise("too fine per token")
+    return broken.select("catalog_id", "model_key", "rate_id", "field", "written", reason.alias("reason"))
 
 
 def period_bound_violations(catalog: Catalog) -> DataFrame:

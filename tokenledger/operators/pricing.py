@@ -1,8 +1,9 @@
 """Facts against a rate catalog, in exact decimals.
 
-Prices per token are worked out once per catalog row: rate x multiplier / 1e6 has at most 14 decimals
-and fits 18 digits, which Spark keeps in a long. Token counts are added up per price first and
-multiplied once per group, never once per fact.
+Prices per token are worked out once per catalog row: rate x multiplier / 1e6 has at most 17 decimals
+and is below 10, so it fits 18 digits, which Spark keeps in a long. A price that has no exact value in
+these types fails the job, it is neither rounded nor left out; catalog checks name it beforehand. Token
+counts are added up per price first and multiplied once per group, never once per fact.
 """
 
 from __future__ import annotations
@@ -13,16 +14,15 @@ from pyspark.sql import functions as F
 from tokenledger.fixed_values import RATE_FIELDS
 from tokenledger.functions.times import instant
 from tokenledger.operators.joins import lookup
-from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog, all_names
+from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog, all_names, exact
 
-UNIT = "decimal(18,14)"
-_OPEN_END = "9999-12-31 00:00:00"
+UNIT = "decimal(18,17)"
 _PER_TOKEN = "0.000001"
 
 
 def model_names(catalog: Catalog) -> DataFrame:
     """Every name the catalog knows, keys and aliases, with the key it stands for."""
-    return catalog.entries.select(
+    return catalog.require_single().entries.select(
         F.explode(all_names()).alias("catalog_name"), F.col("model_key").alias("resolved_key")
     )
 
@@ -35,7 +35,7 @@ def resolve_alias(facts: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def _covers(moment: Column, start: Column, end: Column) -> Column:
-    return (moment >= start) & (moment < F.coalesce(end, F.lit(_OPEN_END).cast("timestamp")))
+    return (moment >= start) & (end.isNull() | (moment < end))
 
 
 def lookup_period(facts: DataFrame, catalog: Catalog) -> DataFrame:
@@ -59,14 +59,26 @@ def lookup_period(facts: DataFrame, catalog: Catalog) -> DataFrame:
     ).drop("period_model", "period_from", "period_until")
 
 
+def unit_price(price: Column, factor: Column) -> Column:
+    """Price of one token; null where :data:`UNIT` cannot hold it exactly."""
+    whole = price * factor * F.lit(_PER_TOKEN).cast("decimal(6,6)")
+    held = whole.try_cast(UNIT)
+    return F.when(held == whole, held)
+
+
+def _unit_or_fail(price: Column, factor: Column) -> Column:
+    broken = F.raise_error(F.concat(F.lit("no exact price per token: "), price.cast("string"))).cast(UNIT)
+    return F.when(price.isNotNull(), F.coalesce(unit_price(price, factor), broken))
+
+
 def price_book(catalog: Catalog) -> DataFrame:
     """One row per name, period, priced kind and speed: what one token costs then.
 
     Cache writes of unknown duration go at the 5-minute price, as a lower bound. Taken from the nested
     entries without a join; fields without a price have no row.
     """
-    multiplier = F.coalesce(F.col("fast_multiplier").try_cast(MULTIPLIER), F.lit(1).cast(MULTIPLIER))
-    periods = catalog.entries.select(
+    multiplier = F.coalesce(exact(F.col("fast_multiplier"), MULTIPLIER), F.lit(1).cast(MULTIPLIER))
+    periods = catalog.require_single().entries.select(
         F.explode(all_names()).alias("book_name"),
         multiplier.alias("multiplier"),
         F.col("credits_per_mtok").alias("credit"),
@@ -76,8 +88,8 @@ def price_book(catalog: Catalog) -> DataFrame:
     def priced(kind: str, field: str, status: str) -> Column:
         return F.struct(
             F.lit(kind).alias("book_kind"),
-            F.col(f"rate.{field}").try_cast(RATE).alias("usd"),
-            F.col(f"credit.{field}").try_cast(RATE).alias("credit"),
+            exact(F.col(f"rate.{field}"), RATE).alias("usd"),
+            exact(F.col(f"credit.{field}"), RATE).alias("credit"),
             F.lit(status).alias("book_status"),
         )
 
@@ -88,7 +100,6 @@ def price_book(catalog: Catalog) -> DataFrame:
         F.struct(F.lit(False).alias("book_fast"), one.alias("factor")),
         F.struct(F.lit(True).alias("book_fast"), F.col("multiplier").alias("factor")),
     )
-    per_token = F.lit(_PER_TOKEN).cast("decimal(6,6)")
     return (
         periods.select("*", F.inline(speeds))
         .select(
@@ -107,8 +118,8 @@ def price_book(catalog: Catalog) -> DataFrame:
             "book_from",
             "book_until",
             "book_status",
-            (F.col("usd") * F.col("factor") * per_token).cast(UNIT).alias("usd_per_token"),
-            (F.col("credit") * F.col("factor") * per_token).cast(UNIT).alias("credits_per_token"),
+            _unit_or_fail(F.col("usd"), F.col("factor")).alias("usd_per_token"),
+            _unit_or_fail(F.col("credit"), F.col("factor")).alias("credits_per_token"),
         )
     )
 
@@ -133,7 +144,7 @@ def with_unit_prices(facts: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def amount(tokens: Column, unit: Column) -> Column:
-    """Exact product of a token count and a price per token, as decimal(38,14)."""
+    """Exact product of a token count and a price per token, as decimal(38,17)."""
     return tokens.cast("decimal(19,0)") * unit
 
 

@@ -55,8 +55,8 @@ def measures() -> list[Column]:
         total(tokens).cast("bigint").alias("tokens"),
         total(F.when(~unpriced, tokens)).cast("bigint").alias("priced_tokens"),
         total(F.when(unpriced, tokens)).cast("bigint").alias("unpriced_tokens"),
-        total(amount(tokens, F.col("usd_per_token"))).cast("decimal(38,14)").alias("estimated_cost_usd"),
-        total(amount(tokens, F.col("credits_per_token"))).cast("decimal(38,14)").alias("credits"),
+        total(amount(tokens, F.col("usd_per_token"))).cast("decimal(38,17)").alias("estimated_cost_usd"),
+        total(amount(tokens, F.col("credits_per_token"))).cast("decimal(38,17)").alias("credits"),
         F.coalesce(*statuses).alias("pricing_status"),
     ]
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,24 @@ MODEL_ENTRY = (
 _HEADER_FIELDS = ("schema_version", "catalog_version", "currency", "unit", "usd_per_credit")
 _DOCUMENT = ", ".join(f"{f} string" for f in _HEADER_FIELDS) + f", models array<{MODEL_ENTRY}>"
 
-RATE = "decimal(12,6)"
-MULTIPLIER = "decimal(8,2)"
+RATE = "decimal(18,9)"
+MULTIPLIER = "decimal(12,6)"
+# Wide enough to tell what a written value loses in one of these.
+_WRITTEN = "decimal(38,28)"
+
+
+def held_exactly(written: Column, kind: str) -> Column:
+    """Written text as a decimal of ``kind``; null where it is no decimal, or one that ``kind`` cannot hold."""
+    value = written.try_cast(_WRITTEN)
+    held = value.try_cast(kind)
+    return F.when(held == value, held)
+
+
+def exact(written: Column, kind: str) -> Column:
+    """Like :func:`held_exactly`, but text without an exact value fails the query that uses it."""
+    held = held_exactly(written, kind)
+    broken = F.raise_error(F.concat(F.lit(f"no exact {kind}: "), written)).cast(kind)
+    return F.when(written.isNotNull(), F.coalesce(held, broken))
 
 
 @dataclass(frozen=True)
@@ -50,6 +67,16 @@ class Catalog:
         ).first()
         return size["rows"] <= BROADCAST_ROWS and size["rows"] * 100 + size["text"] <= BROADCAST_BYTES
 
+    @cached_property
+    def is_single(self) -> bool:
+        """Whether there is exactly one document. Prices of several would add up for the same fact."""
+        return len(self.headers.select("catalog_id").limit(2).collect()) == 1
+
+    def require_single(self) -> Catalog:
+        if not self.is_single:
+            raise PySparkException("prices come from exactly one rate catalog")
+        return self
+
     @property
     def models(self) -> DataFrame:
         """Keys and fast multipliers; a model without a multiplier has 1."""
