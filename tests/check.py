@@ -59,7 +59,7 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
 def main() -> int:
     sf_dir, names = sys.argv[1], sys.argv[2:] or sorted(driver.oracle_sql())
     spark = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("CHECK_MASTER", "local[8]"))
         .config("spark.driver.memory", os.environ.get("CHECK_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tokenledger.functions.models import model_key
 from tokenledger.operators import rollouts
-from tokenledger.operators.joins import lookup
 from tokenledger.operators.ordering import running_totals
+from tokenledger.session import written
 from tokenledger.sources import catalog as catalogs
 from tokenledger.sources.catalog import Catalog
 from tokenledger.sources.threads import resolve_rollouts
@@ -215,6 +215,9 @@ THREAD_FIELDS = {
     "rollout_path": (
         "CASE WHEN c_custkey % 10 = 0 THEN NULL "
         "WHEN c_custkey % 10 = 1 THEN concat('gone/u', CAST(c_custkey AS STRING), '.jsonl') "
+        "WHEN c_custkey % 10 = 3 THEN concat('x/../u', CAST(c_custkey AS STRING), '.jsonl') "
+        f"WHEN c_custkey % 10 = 4 THEN concat('{HOME}//./u', CAST(c_custkey AS STRING), '.jsonl') "
+        "WHEN c_custkey % 10 = 5 THEN concat('./u', CAST(c_custkey AS STRING), '.jsonl') "
         f"WHEN c_custkey % 2 = 0 THEN concat('{HOME}/u', CAST(c_custkey AS STRING), '.jsonl') "
         "ELSE concat('u', CAST(c_custkey AS STRING), '.jsonl') END"
     ),
@@ -222,10 +225,8 @@ THREAD_FIELDS = {
 
 
 def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of the users with events, without their own token totals."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("event_user")).distinct()
-    known = lookup(table(spark, sf_dir, "customer"), users, {"c_custkey": "event_user"}, how="left_semi")
-    return known.selectExpr("c_custkey", *columns(THREAD_FIELDS))
+    """A thread per customer, without its own token total. Most have no events, so no log either."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", *columns(THREAD_FIELDS))
 
 
 # A thread's own total: right, two per cent more, or none.
@@ -248,7 +249,10 @@ def resolved_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threads_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollouts.by_file(resolved_threads(spark, sf_dir), rollout_files(spark, sf_dir))
+    """One listing serves both the lookup of threads and the names of their files."""
+    threads = thread_table(spark, sf_dir).withColumn("tokens_used", F.lit(0).cast("bigint"))
+    files = written(rollout_files(spark, sf_dir))
+    return written(rollouts.by_file(resolve_rollouts(threads, files, HOME), files))
 
 
 # --- small catalog with test prices, for pricing ----------------------------------------------------
@@ -259,11 +263,11 @@ TEST_PERIODS = (
     ("model-a", "a-2", "1998-07-01T00:00:00+00:00", None, "6.0", "0.6", None, None, "36.0"),
     ("claude-x-4-7", "x-1", "1995-01-01T00:00:00+00:00", "1997-01-01T00:00:00+00:00", "3.0", "0.3", "3.75", "6.0", "15.0"),
     ("claude-x-4-7", "x-2", "1999-01-01T00:00:00+00:00", None, "2.0", "0.075", "2.5", "4.0", "10.0"),
-    ("model-b", "b-1", "1990-01-01T00:00:00+00:00", None, "1.75", "0.175", None, "0.0", "14.0"),
+    ("model-b", "b-1", "1990-01-01T00:00:00+00:00", None, "2000000", "0.123456789", None, "0.0", "14.0"),
 )
 # model, alias, fast multiplier, credits of input, cache read and output
 TEST_MODELS = (
-    ("model-a", None, "2.5", ("125", "12.5", "750")),
+    ("model-a", None, "1.125", ("125", "12.5", "750")),
     ("claude-x-4-7", None, "1.0", None),
     ("model-b", "model-b-alias", "2.0", ("43.75", "4.375", None)),
 )
@@ -332,7 +336,7 @@ ENTRY_FIELDS = {
         f"WHEN {_K} % 37 = 4 THEN concat('shared-', CAST({_K} % 10 AS STRING)) END"
     ),
     "fast_multiplier": (
-        f"CASE WHEN {_K} % 61 = 7 THEN '-1' WHEN {_K} % 3 = 0 THEN '1.0' WHEN {_K} % 3 = 1 THEN '2.5' END"
+        f"CASE WHEN {_K} % 61 = 7 THEN '-1' WHEN {_K} % 89 = 25 AND {_K} % 83 <> 24 THEN '1.125' WHEN {_K} % 3 = 0 THEN '1.0' WHEN {_K} % 3 = 1 THEN '2.5' END"
     ),
     "has_credits": f"{_K} % 2 = 0",
     "credit_input": (
@@ -353,7 +357,8 @@ FIRST_PERIOD = {
         f"CASE WHEN {_K} % 43 = 11 THEN '1995-01-01T00:00:00Z' "
         f"ELSE concat('1998-', {_MONTH}, '-01T00:00:00+00:00') END"
     ),
-    "input_nocache": f"CASE WHEN {_K} % 73 = 19 THEN 'abc' ELSE {fixed_2(_CENTS)} END",
+    "input_nocache": f"CASE WHEN {_K} % 73 = 19 THEN 'abc' WHEN {_K} % 83 = 23 THEN '2000000' WHEN {_K} % 83 = 24 THEN '0.123456789' "
+    f"ELSE {fixed_2(_CENTS)} END",
     **_SHARED_PRICES,
 }
 SECOND_PERIOD = {

@@ -90,13 +90,13 @@ CREDITS = _values(
 
 def _priced(facts: str = "facts") -> str:
     """Every fact with exact cost and credits."""
-    factor = "CAST(CASE WHEN f.mode = 'fast' THEN n.multiplier ELSE '1' END AS DECIMAL(8,2))"
-    scale = "CAST(f.tokens AS DECIMAL(10,0)) * CAST('0.000001' AS DECIMAL(6,6))"
+    factor = "CAST(CASE WHEN f.mode = 'fast' THEN n.multiplier ELSE '1' END AS DECIMAL(7,4))"
+    scale = "CAST(f.tokens AS DECIMAL(6,0)) * CAST('0.000001' AS DECIMAL(6,6))"
     kind = "CASE f.token_kind WHEN 'cache_write_unknown' THEN 'cache_write_5m' ELSE f.token_kind END"
     return f"""priced AS (
   SELECT f.*, n.resolved_key,
-    {scale} * (CAST(r.usd AS DECIMAL(12,6)) * {factor}) AS cost,
-    {scale} * (CAST(CASE WHEN r.usd IS NOT NULL THEN c.credit END AS DECIMAL(12,6)) * {factor}) AS credit,
+    {scale} * (CAST(r.usd AS DECIMAL(19,9)) * {factor}) AS cost,
+    {scale} * (CAST(CASE WHEN r.usd IS NOT NULL THEN c.credit END AS DECIMAL(19,9)) * {factor}) AS credit,
     CASE WHEN r.usd IS NULL THEN 'unpriced' WHEN f.token_kind = 'cache_write_unknown' THEN 'lower_bound'
       ELSE 'priced' END AS status
   FROM {facts} f
@@ -227,8 +227,7 @@ ROLLOUTS = (
 )
 _NEGATIVE = "(CASE WHEN d_input < 0 OR d_cached < 0 THEN 1 ELSE 0 END + CASE WHEN d_output < 0 THEN 1 ELSE 0 END)"
 THREADS = f"""threads AS (
-  SELECT c_custkey, {_columns(inputs.THREAD_FIELDS)} FROM customer
-  WHERE c_custkey IN (SELECT user_id FROM events))"""
+  SELECT c_custkey, {_columns(inputs.THREAD_FIELDS)} FROM customer)"""
 _MODE = """CASE WHEN model = 'gpt-y-fast' OR collaboration_mode = 'fast-turbo' THEN 'fast'
     WHEN collaboration_mode = 'default' THEN 'normal' ELSE 'unknown' END"""
 THREAD_INCREMENTS = f"""thread_increments AS (
@@ -321,6 +320,8 @@ SELECT {_PROJECT} AS project, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_out_of
 FROM events GROUP BY 1"""
     sql["prune_files_since"] = f"""
 SELECT {_PROJECT} AS project, count(*) AS n_early, CAST(0 AS BIGINT) AS n_late FROM events GROUP BY 1"""
+    sql["skipped_session_files"] = """
+SELECT count(DISTINCT user_id) AS skipped_files FROM events WHERE user_id % 5 = 0 AND user_id % 2 = 1"""
     sql["parse_json_lines"] = _with(SESSIONS[0]) + """
 SELECT concat('user-', CAST(user_id AS STRING)) AS file, count(*) AS n_lines,
   count(*) FILTER (blank_line) AS n_blank, count(*) FILTER (corrupt) AS n_malformed,
@@ -330,15 +331,17 @@ FROM ev GROUP BY user_id"""
 SELECT id, model, archived, created_at_ms, rollout_path FROM threads
 WHERE archived = 0 AND created_at_ms >= 5000 AND created_at_ms < 1000000"""
     sql["resolve_rollout_files"] = _with(THREADS) + f"""
-SELECT id, CASE WHEN rollout_path LIKE '/%' THEN rollout_path
-    ELSE concat('{inputs.HOME}/', rollout_path) END AS path,
-  c_custkey % 10 <> 1 AS present
+SELECT id, concat('{inputs.HOME}/', CASE WHEN c_custkey % 10 = 1 THEN 'gone/' ELSE '' END,
+    'u', CAST(c_custkey AS STRING), '.jsonl') AS path,
+  c_custkey % 10 <> 1 AND c_custkey IN (SELECT user_id FROM events) AS present
 FROM threads WHERE rollout_path IS NOT NULL"""
     sql["load_rate_catalog"] = _with(ENTRIES, CATALOG_PERIODS) + f"""
 SELECT catalog_id, model_key, rate_id, {_text('starts')} AS effective_from, {_text('ends')} AS effective_until,
   field AS rate_field, TRY_CAST(written AS DOUBLE) AS usd_per_mtok
 FROM ({_long_prices('catalog_id, model_key, rate_id, starts, ends')})"""
-    sql["catalog_sha256"] = _with(HEADERS) + f"SELECT catalog_id, sha256({_HEADER_JSON}) AS sha256 FROM headers"
+    sql["catalog_sha256"] = _with(HEADERS) + (
+        f"SELECT catalog_id, sha256({_HEADER_JSON} || chr(10)) AS sha256 FROM headers"
+    )
 
     # filters
     sql["filter_billable_events"] = _with(*SESSIONS) + """
@@ -483,7 +486,8 @@ SELECT
     + (SELECT count(*) FROM usable WHERE bad_time OR bad_input OR bad_output)
     + (SELECT count(*) FROM snaps JOIN threads ON user_id = c_custkey
        WHERE bad_time AND c_custkey % 10 NOT IN (0, 1)) AS malformed_events,
-  (SELECT count(*) FROM threads WHERE c_custkey % 10 = 1) AS skipped_files,
+  (SELECT count(*) FROM threads WHERE rollout_path IS NOT NULL
+    AND (c_custkey % 10 = 1 OR c_custkey NOT IN (SELECT user_id FROM events))) AS skipped_files,
   (SELECT CAST(sum({_NEGATIVE}) AS BIGINT) FROM thread_increments) AS negative_deltas,
   (SELECT CAST(sum(tokens) AS BIGINT) FROM priced WHERE status = 'unpriced') AS unpriced_tokens"""
     sql["union_sources"] = _with(*LOG_FACTS) + f"""
@@ -562,7 +566,7 @@ WHERE place > 1 AND earlier_end > starts"""
 SELECT catalog_id, model_key, rate_id, rate_field, TRY_CAST(usd AS DOUBLE) AS usd_per_mtok,
   CAST(credit AS DOUBLE) AS credits_per_mtok, CAST(usd_per_credit AS DOUBLE) AS usd_per_credit
 FROM both_prices JOIN headers USING (catalog_id)
-WHERE TRY_CAST(usd AS DECIMAL(12,6)) <> CAST(credit AS DECIMAL(12,6)) * CAST(usd_per_credit AS DECIMAL(12,6))"""
+WHERE TRY_CAST(usd AS DECIMAL(18,9)) <> CAST(credit AS DECIMAL(18,9)) * CAST(usd_per_credit AS DECIMAL(18,9))"""
     sql["catalog_summary"] = _with(ENTRIES, HEADERS) + """
 , keys AS (SELECT DISTINCT catalog_id, model_key FROM entries WHERE model_key IS NOT NULL),
 counts AS (SELECT catalog_id, count(*) AS model_count FROM keys GROUP BY 1)

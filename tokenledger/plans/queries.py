@@ -18,6 +18,7 @@ from tokenledger.plans import inputs
 from tokenledger.session import shared_dir, use_utc, written
 from tokenledger.sinks import export, report_files
 from tokenledger.sources import logs
+from tokenledger.sources.catalog import documents
 from tokenledger.sources.threads import select_threads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,18 +98,35 @@ def log_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prune_files_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of files that may hold events since long ago, and since far in the future."""
+    """Lines of files that may hold events since 12 hours, and since 25 hours, after they were last written:
+    the day of slack keeps all of the former and none of the latter."""
     root = _written_logs(spark, sf_dir)
+    last = logs.file_listing(spark, [root], pattern="*.txt", recursive=True).agg(F.max("modified_at")).first()[0]
 
-    def counted(since: str, name: str) -> DataFrame:
-        bound = F.lit(since).cast("timestamp")
+    def counted(hours: int, name: str) -> DataFrame:
+        bound = F.lit(last) + F.expr(f"INTERVAL {hours} HOURS")
         lines = logs.session_lines(spark, root, pattern="*.txt", touched_since=bound)
         return lines.groupBy(_project(F.col("file"))).agg(F.count(F.lit(1)).alias(name))
 
-    early, late = counted("2000-01-01", "n_early"), counted("2999-01-01", "n_late")
+    early, late = counted(12, "n_early"), counted(25, "n_late")
     return early.join(late, "project", "left").fillna(0, "n_late")
 
 
+@query
+def skipped_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a listing names, but no line came from: every fifth listed name is of a file that is gone."""
+    root = _written_logs(spark, sf_dir)
+    lines = logs.session_lines(spark, root, pattern="*.txt")
+    listing = logs.file_listing(spark, [root], pattern="*.txt", recursive=True)
+    users = inputs.table(spark, sf_dir, "events").filter("user_id % 5 = 0").select("user_id").distinct()
+    gone = users.select(
+        F.concat(F.lit("file:///gone/u"), "user_id").alias("file"),
+        F.lit(None).cast("timestamp").alias("modified_at"),
+        (F.col("user_id") % 2).alias("size"),
+    )
+    return quality.skipped_files(logs.unread_files(listing.unionByName(gone), lines))
+
+
 @query
 def parse_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = logs.parse_lines(inputs.session_lines(spark, sf_dir), logs.SESSION_EVENT)
@@ -122,8 +140,10 @@ def parse_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _threads_with_totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Resolved threads by file with their own totals, and their counters."""
-    threads = inputs.threads_by_file(spark, sf_dir).drop("tokens_used")
-    counters = written(rollouts.thread_counters(_thread_deltas(spark, sf_dir)))
+    threads = inputs.threads_by_file(spark, sf_dir)
+    events = rollouts.read_events(inputs.rollout_lines(spark, sf_dir))
+    counters = written(rollouts.thread_counters(rollouts.deltas(events, threads)))
+    threads = threads.drop("tokens_used")
     own = counters.select(
         "file",
         "thread_id",
@@ -162,7 +182,13 @@ def load_rate_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalog_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.header_documents(spark, sf_dir).select("catalog_id", "sha256")
+    """Digests of catalog files: a written file is a document and a line end."""
+    path = shared_dir(spark)
+    inputs.header_documents(spark, sf_dir).select("catalog_id", F.col("document").alias("value")).write.partitionBy(
+        "catalog_id"
+    ).text(path)
+    read = documents(spark, path)
+    return read.select(F.regexp_extract("catalog_id", r"catalog_id=([^/]+)", 1).alias("catalog_id"), "sha256")
 
 
 # --- filters ----------------------------------------------------------------------------------------
@@ -386,18 +412,16 @@ def unpivot_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def month_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = inputs.line_facts(spark, sf_dir)
-
-    def counted(zone: str) -> DataFrame:
-        month = times.month_start(F.col("occurred_at_utc"), zone)
-        grouped = facts.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("facts"))
-        return grouped.select(F.lit(zone).alias("zone"), times.month_label(F.col("month")).alias("month"), "facts")
-
     zones = ("UTC", "Asia/Tokyo", "America/New_York")
-    first, *rest = [counted(zone) for zone in zones]
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    months = F.array(
+        *[
+            F.struct(F.lit(zone).alias("zone"), times.month_start(F.col("occurred_at_utc"), zone).alias("month"))
+            for zone in zones
+        ]
+    )
+    facts = inputs.line_facts(spark, sf_dir).select(F.inline(months))
+    counted = facts.groupBy("zone", "month").agg(F.count(F.lit(1)).alias("facts"))
+    return counted.select("zone", times.month_label(F.col("month")).alias("month"), "facts")
 
 
 # --- joins ------------------------------------------------------------------------------------------
@@ -565,7 +589,7 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_log = written(session_events.read_events(inputs.session_lines(spark, sf_dir)))
     rollout_log = written(rollouts.read_events(inputs.rollout_lines(spark, sf_dir)))
     resolved = written(inputs.resolved_threads(spark, sf_dir))
-    threads = rollouts.by_file(resolved, inputs.rollout_files(spark, sf_dir))
+    threads = written(rollouts.by_file(resolved, inputs.rollout_files(spark, sf_dir)))
     increments = written(rollouts.deltas(rollout_log, threads))
     facts = fact_ops.union_sources(
         session_events.usage_facts(session_events.fill_session_id(session_log)),
