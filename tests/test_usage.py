@@ -9,7 +9,7 @@ from tests.helpers import catalog, period, rows
 from tests.test_logs import assistant, started, total
 
 from tokenledger.fixed_values import FACT_COLUMNS, REPORT_COLUMNS
-from tokenledger.operators import pricing
+from tokenledger.operators import pricing, quality
 from tokenledger.plans import usage
 from tokenledger.session import remove_written, run_dir
 from tokenledger.sinks import export, report_files
@@ -83,19 +83,24 @@ def test_window_applies_after_increments(spark, sources, prices):
     assert counters.first().negative_deltas == 1 and counters.first().malformed_events == 0
 
 
-def test_report_document(spark, sources, prices):
-    text = usage.usage_document(spark, sources, prices, since="2026-07-01", timezone="Asia/Tokyo").first().value
-    payload = json.loads(text)
-    assert list(payload) == [
-        "schema_version", "generated_at", "window", "timezone", "rates", "group_by", "data_quality", "rows",
-    ]
-    assert payload["schema_version"] == "1"
-    assert payload["window"] == {"since": "2026-06-30T15:00:00+00:00", "until": None}
-    assert payload["rates"] == {"catalog_version": "v-test", "sha256": "sha"}
-    assert {r["month"] for r in payload["rows"]} == {"2026-07"}
-    assert all(tuple(r) == REPORT_COLUMNS for r in payload["rows"])
-    order = [(r["agent"], r["model"], r["token_kind"]) for r in payload["rows"]]
-    assert order == sorted(order) and order[0][:2] == ("claude", "unheard-of")
+def read_envelope(spark, envelope, path):
+    """The header, and the objects of each part."""
+    report_files.write_envelope(envelope, path)
+    header = json.loads(spark.read.text(f"{path}/header").first().value)
+    parts = {name: [json.loads(r.value) for r in spark.read.text(f"{path}/{name}").collect()] for name in envelope.parts}
+    return header, parts
+
+
+def test_report_envelope(spark, sources, prices, tmp_path):
+    envelope = usage.usage_document(spark, sources, prices, since="2026-07-01", timezone="Asia/Tokyo")
+    header, parts = read_envelope(spark, envelope, str(tmp_path / "report"))
+    assert list(header) == ["schema_version", "generated_at", "window", "timezone", "rates", "group_by", "data_quality"]
+    assert header["schema_version"] == "1"
+    assert header["window"] == {"since": "2026-06-30T15:00:00+00:00", "until": None}
+    assert header["rates"] == {"catalog_version": "v-test", "sha256": "sha"}
+    assert {r["month"] for r in parts["rows"]} == {"2026-07"}
+    assert all(tuple(r) == REPORT_COLUMNS for r in parts["rows"])
+    assert {(r["agent"], r["model"]) for r in parts["rows"]} == {("claude", "unheard-of"), ("claude", "x"), ("codex", "(unknown)"), ("codex", "gpt-y")}
 
 
 def test_export(spark, sources, tmp_path):
@@ -113,20 +118,21 @@ def test_export(spark, sources, tmp_path):
     }
 
 
-def test_measure_document(spark, sources, prices):
+def test_measure_envelope(spark, sources, prices, tmp_path):
     ids = spark.createDataFrame([("sess-1",), ("th-1",), ("nobody",)], "session_id string")
-    payload = json.loads(usage.measure_document(spark, sources, prices, ids).first().value)
-    assert payload["protocol_version"] == "measure/v1" and payload["agent"] == ["claude", "codex"]
-    assert sorted(payload["sessions"]) == payload["session_ids"] == ["nobody", "sess-1", "th-1"]
-    nobody = payload["sessions"]["nobody"]
+    header, parts = read_envelope(spark, usage.measure_document(spark, sources, prices, ids), str(tmp_path / "digest"))
+    assert header["protocol_version"] == "measure/v1" and header["agent"] == ["claude", "codex"]
+    sessions = {r["session_id"]: r for r in parts["sessions"]}
+    assert list(sessions) == ["nobody", "sess-1", "th-1"]
+    nobody = sessions["nobody"]
     assert nobody["matched"] is False and nobody["rows"] == [] and nobody["totals"]["tokens"] == 0
-    first = payload["sessions"]["sess-1"]
+    first = sessions["sess-1"]
     assert first["matched"] is True and first["totals"]["tokens"] == 1517
     assert [r["token_kind"] for r in first["rows"]] == ["output", "cache_write_unknown", "input_nocache", "output"]
-    assert payload["sessions"]["th-1"]["totals"]["credits"] == pytest.approx(80 * 750 / 1e6)
-    assert payload["total"]["totals"]["tokens"] == 1517 + 180
-    assert payload["data_quality"]["source_quality"] == {"ok": 5, "first_event_delta": 3}
-    assert payload["data_quality"]["unpriced_tokens"] == 7
+    assert sessions["th-1"]["totals"]["credits"] == pytest.approx(80 * 750 / 1e6)
+    assert [r["totals"]["tokens"] for r in parts["total"]] == [1517 + 180]
+    assert header["data_quality"]["source_quality"] == {"ok": 5, "first_event_delta": 3}
+    assert header["data_quality"]["unpriced_tokens"] == 7
 
 
 def test_reconciliation(spark, sources):
@@ -142,10 +148,21 @@ def test_csv(spark, sources, prices, tmp_path):
     assert ",".join(REPORT_COLUMNS) in text and ",claude,,,1517," in text
 
 
-def test_documents_are_bounded(spark, sources, prices, monkeypatch):
-    monkeypatch.setattr("tokenledger.operators.joins.BROADCAST_ROWS", 1)
-    with pytest.raises(Exception, match="part files"):
-        usage.usage_document(spark, sources, prices)
+def test_envelopes_have_no_largest_size(spark, prices, tmp_path):
+    one = F.lit(1).cast("bigint")
+    rows_ = spark.range(250_000).select(
+        F.lit("2026-07").alias("month"), F.lit("claude").alias("agent"), F.col("id").cast("string").alias("model"),
+        F.lit("output").alias("token_kind"), one.alias("tokens"), one.alias("priced_tokens"), (one - 1).alias("unpriced_tokens"),
+        F.lit(0).cast("decimal(38,17)").alias("estimated_cost_usd"), F.lit(0).cast("decimal(38,17)").alias("credits"),
+        F.lit("priced").alias("pricing_status"),
+    )
+    envelope = report_files.report_envelope(
+        rows_, headers=prices.headers, data_quality=quality.data_quality(quality.unpriced_tokens(rows_)),
+        group_by=["month"], timezone="UTC",
+    )
+    report_files.write_envelope(envelope, str(tmp_path / "large"))
+    assert spark.read.text(str(tmp_path / "large" / "rows")).count() == 250_000
+    assert spark.read.text(str(tmp_path / "large" / "header")).count() == 1
 
 
 def test_no_source(spark, prices):

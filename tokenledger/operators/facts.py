@@ -8,8 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenledger.fixed_values import AGENTS, FACT_COLUMNS, MODES, SOURCE_QUALITIES, TOKEN_KINDS
+from tokenledger.fixed_values import (
+    AGENTS,
+    FACT_COLUMNS,
+    MODES,
+    SOURCE_QUALITIES,
+    TOKEN_KINDS,
+    UNKNOWN_MODEL,
+)
+from tokenledger.functions.models import model_key
 from tokenledger.operators.joins import lookup
+from tokenledger.session import written
 
 
 def in_window(facts: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
@@ -37,6 +46,15 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [source.select(*FACT_COLUMNS) for source in sources])
 
 
+def with_model_keys(rows: DataFrame) -> DataFrame:
+    """Adds ``model_key`` of ``model_raw``. There are far fewer names than rows, so the rules for names run once
+    per distinct name; the names are written, as they are measured before they are joined."""
+    raw = written(rows.select(F.col("model_raw").alias("raw_name")).filter(F.col("raw_name").isNotNull()).distinct())
+    names = raw.select("raw_name", model_key(F.col("raw_name")).alias("model_key"))
+    keyed = lookup(rows, names, {"model_raw": "raw_name"}).drop("raw_name")
+    return keyed.withColumn("model_key", F.coalesce("model_key", F.lit(UNKNOWN_MODEL)))
+
+
 def domain_violations(facts: DataFrame) -> DataFrame:
     """Facts outside their domain, one row per broken rule, with the ``reason``."""
 

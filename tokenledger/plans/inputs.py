@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.functions.models import model_key
 from tokenledger.operators import rollouts
+from tokenledger.operators.facts import with_model_keys
 from tokenledger.operators.ordering import running_totals
 from tokenledger.session import written
 from tokenledger.sources import catalog as catalogs
@@ -77,6 +78,11 @@ def line_facts(spark: SparkSession, sf_dir: str, fields: dict[str, str] = FACT_F
     return raw.withColumn("model_key", model_key(F.col("model_raw")))
 
 
+def keyed_line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts, with keys worked out per distinct name: for what groups or prices all of them."""
+    return with_model_keys(table(spark, sf_dir, "lineitem").selectExpr(*columns(FACT_FIELDS)))
+
+
 REQUESTED_SESSION = "concat('s', CAST(s_suppkey * 13 AS STRING))"
 
 

@@ -504,6 +504,31 @@ FROM session_facts"""
     sql["sink_report_csv"] = _report(("agent", "model", "token-kind"))
     sql["sink_report_json"] = _report(("month", "model", "token-kind"))
     sql["sink_measure_json"] = DIGEST
+    sql["sink_report_envelope"] = f"""
+SELECT r.*, '1' AS schema_version, '1996-02-29T15:00:00+00:00' AS since, 'Asia/Tokyo' AS timezone,
+  'test-1' AS catalog_version, '["agent","model"]' AS dimensions,
+  CAST(CAST(sum(unpriced_tokens) OVER () AS BIGINT) AS VARCHAR) AS all_unpriced
+FROM ({_report(("agent", "model"))}) r"""
+    sql["sink_measure_envelope"] = f"""
+WITH d AS ({DIGEST}),
+totals AS (SELECT * FROM d WHERE scope IN ('session', 'total')),
+lines AS (
+  SELECT session_id, count(*) AS n_rows, CAST(sum(tokens) AS BIGINT) AS row_tokens
+  FROM d WHERE scope LIKE '%_row' GROUP BY session_id)
+SELECT 'measure/v1' AS protocol_version, session_id, CASE WHEN scope = 'session' THEN matched END AS matched,
+  CAST(coalesce(n_rows, 0) AS INT) AS n_rows, coalesce(row_tokens, 0) AS row_tokens,
+  tokens, priced_tokens, unpriced_tokens, estimated_cost_usd, credits,
+  (SELECT CAST(count(*) AS VARCHAR) FROM lineitem WHERE l_partkey % 10 <> 0
+    AND concat('s', CAST(l_orderkey % 1000 AS STRING)) IN (SELECT {inputs.REQUESTED_SESSION} FROM supplier)) AS ok_facts
+FROM totals t LEFT JOIN lines l USING (session_id)
+WHERE t.session_id IS NOT NULL
+UNION ALL
+SELECT 'measure/v1', NULL, NULL, (SELECT CAST(count(*) AS INT) FROM d WHERE scope = 'total_row'),
+  (SELECT CAST(sum(tokens) AS BIGINT) FROM d WHERE scope = 'total_row'),
+  tokens, priced_tokens, unpriced_tokens, estimated_cost_usd, credits,
+  (SELECT CAST(count(*) AS VARCHAR) FROM lineitem WHERE l_partkey % 10 <> 0
+    AND concat('s', CAST(l_orderkey % 1000 AS STRING)) IN (SELECT {inputs.REQUESTED_SESSION} FROM supplier))
+FROM d WHERE scope = 'total'"""
     cells = _report(("agent", "model", "token-kind"))
     for exact, name in (("sum(cost)", "estimated_cost_usd"), ("sum(credit)", "credits")):
         cells = cells.replace(f"{_double(f'coalesce({exact}, 0)')} AS {name}", f"coalesce({exact}, 0) AS {name}")

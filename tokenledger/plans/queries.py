@@ -435,7 +435,7 @@ def resolve_model_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rate_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = pricing.lookup_period(inputs.line_facts(spark, sf_dir), inputs.test_catalog(spark))
+    facts = pricing.lookup_period(inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark))
     return facts.groupBy("model_key", "resolved_key", "rate_id").agg(
         F.count(F.lit(1)).alias("facts"),
         F.sum("tokens").alias("tokens"),
@@ -473,7 +473,7 @@ def reconcile_tokens_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.price_facts(inputs.line_facts(spark, sf_dir), inputs.test_catalog(spark))
+    return pricing.price_facts(inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark))
 
 
 @query
@@ -512,7 +512,7 @@ def price_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    facts = inputs.line_facts(spark, sf_dir)
+    facts = inputs.keyed_line_facts(spark, sf_dir)
     return report.usage_report(facts, inputs.test_catalog(spark), **options)
 
 
@@ -564,7 +564,7 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, catalog = inputs.line_facts(spark, sf_dir), inputs.test_catalog(spark)
+    facts, catalog = inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark)
     digest = report.measure_sessions(facts, catalog, inputs.requested_sessions(spark, sf_dir))
     return digest.withColumn("matched", F.col("matched").cast("int"))
 
@@ -658,6 +658,75 @@ def sink_measure_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(report.as_output(digest).schema).json(path)
 
 
+def _read_header(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Fields of the header written at ``path``, by JSON path."""
+    header = spark.read.text(f"{path}/header")
+    return header.select(*[F.get_json_object("value", where).alias(name) for name, where in fields.items()])
+
+
+@query
+def sink_report_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows as written, next to what their header says."""
+    catalog = inputs.test_catalog(spark)
+    rows = written(_report(spark, sf_dir, group_by=["agent", "model"]))
+    since, _ = _window()
+    envelope = report_files.report_envelope(
+        rows,
+        headers=catalog.headers,
+        data_quality=quality.data_quality(quality.unpriced_tokens(rows)),
+        group_by=["agent", "model"],
+        timezone="Asia/Tokyo",
+        since=since,
+    )
+    path = shared_dir(spark)
+    report_files.write_envelope(envelope, path)
+    fields = {
+        "schema_version": "$.schema_version",
+        "since": "$.window.since",
+        "timezone": "$.timezone",
+        "catalog_version": "$.rates.catalog_version",
+        "dimensions": "$.group_by",
+        "all_unpriced": "$.data_quality.unpriced_tokens",
+    }
+    written_rows = spark.read.schema(envelope.parts["rows"].schema).json(f"{path}/rows")
+    header = _read_header(spark, path, fields).withColumn("of_schema", F.col("schema_version"))
+    keyed = written_rows.withColumn("of", F.lit(report_files.REPORT_SCHEMA_VERSION))
+    return keyed.join(F.broadcast(header), F.col("of") == F.col("of_schema")).drop("of", "of_schema")
+
+
+@query
+def sink_measure_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a digest as written, and the total, next to what their header says."""
+    facts, catalog = inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark)
+    wanted = inputs.requested_sessions(spark, sf_dir)
+    digest = written(report.measure_sessions(facts, catalog, wanted))
+    envelope = report_files.digest_envelope(
+        digest,
+        headers=catalog.headers,
+        data_quality=quality.data_quality(quality.unpriced_tokens(digest.filter("scope = 'total'"))),
+        source_quality=report.source_quality_counts(facts, wanted),
+        agents=["codex", "claude"],
+        timezone="UTC",
+    )
+    path = shared_dir(spark)
+    report_files.write_envelope(envelope, path)
+    parts = [
+        spark.read.schema(envelope.parts[name].schema).json(f"{path}/{name}") for name in ("sessions", "total")
+    ]
+    objects = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    header = _read_header(spark, path, {"protocol_version": "$.protocol_version", "ok_facts": "$.data_quality.source_quality.ok"})
+    keyed = objects.withColumn("of", F.lit(report_files.DIGEST_PROTOCOL_VERSION))
+    return keyed.join(F.broadcast(header), F.col("of") == F.col("protocol_version")).select(
+        "protocol_version",
+        "ok_facts",
+        "session_id",
+        F.col("matched").cast("int").alias("matched"),
+        F.size("rows").alias("n_rows"),
+        F.aggregate("rows", F.lit(0).cast("bigint"), lambda n, r: n + r["tokens"]).alias("row_tokens"),
+        *[F.col(f"totals.{name}").alias(name) for name in report.MEASURES],
+    )
+
+
 @query
 def format_report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_files.report_cells(_report(spark, sf_dir, group_by=["agent", "model", "token-kind"]))

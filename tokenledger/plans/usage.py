@@ -151,17 +151,18 @@ def usage_report(
         spark, sources, agents=agents, include_archived=include_archived, touched_since=touched
     )
     facts = selected_facts(collected, agents=agents, since=since, until=until, timezone=timezone)
-    rows = report.usage_report(facts, catalog, group_by=group_by, timezone=timezone)
+    # Few rows of many facts, with several readers.
+    rows = written(report.usage_report(facts, catalog, group_by=group_by, timezone=timezone))
     counters = quality.data_quality(*collected.counters, quality.unpriced_tokens(rows))
     return report.in_report_order(rows), counters
 
 
 def usage_document(
     spark: SparkSession, sources: Sources, catalog: Catalog, *, timezone: str = "UTC", **options
-) -> DataFrame:
-    """:func:`usage_report` as one JSON document."""
+) -> report_files.Envelope:
+    """:func:`usage_report` with a header, for :func:`~tokenledger.sinks.report_files.write_envelope`."""
     rows, counters = usage_report(spark, sources, catalog, timezone=timezone, **options)
-    return report_files.report_document(
+    return report_files.report_envelope(
         rows,
         headers=catalog.headers,
         data_quality=counters,
@@ -201,7 +202,7 @@ def measure(
     catalog.require_single()
     collected = _collected_in_window(spark, sources, prune_files=prune_files, **options)
     facts = selected_facts(collected, **options)
-    digest = report.measure_sessions(facts, catalog, session_ids)
+    digest = written(report.measure_sessions(facts, catalog, session_ids))
     unpriced = quality.unpriced_tokens(digest.filter("scope = 'total'"))
     counters = quality.data_quality(*collected.counters, unpriced)
     return digest, counters, report.source_quality_counts(facts, session_ids)
@@ -215,12 +216,12 @@ def measure_document(
     *,
     timezone: str = "UTC",
     **options,
-) -> DataFrame:
-    """:func:`measure` as one JSON document."""
+) -> report_files.Envelope:
+    """:func:`measure` with a header, for :func:`~tokenledger.sinks.report_files.write_envelope`."""
     digest, counters, qualities = measure(
         spark, sources, catalog, session_ids, timezone=timezone, **options
     )
-    return report_files.digest_document(
+    return report_files.digest_envelope(
         digest,
         headers=catalog.headers,
         data_quality=counters,

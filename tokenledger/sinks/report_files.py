@@ -1,14 +1,14 @@
 """Reports as files and documents.
 
-Rows go to part files, one per task, however many there are. A report or digest as *one* JSON document
-is also there, for results measured to be small; larger ones have the part files.
+Rows go to part files, one per task, however many there are. A report or digest with what describes it is an
+:class:`Envelope`: a one-row JSON header, and the rows as part files beside it, in one layout for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,6 @@ from tokenledger.fixed_values import (
 )
 from tokenledger.functions.cells import cost_cell, credits_cell, text_cell
 from tokenledger.functions.times import iso_utc
-from tokenledger.operators.joins import fits_broadcast
 from tokenledger.operators.report import MEASURES, as_output
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -57,19 +56,35 @@ def _window(since: Column | None, until: Column | None) -> Column:
     return F.struct(_optional_iso(since).alias("since"), _optional_iso(until).alias("until"))
 
 
-def _require_small(rows: DataFrame) -> None:
-    if not fits_broadcast(rows):
-        raise PySparkException("too many rows for one document, write part files instead")
+@dataclass(frozen=True)
+class Envelope:
+    """``header``: one row with the column ``value``, a JSON object. ``parts``: named frames of rows."""
 
+    header: DataFrame
+    parts: dict[str, DataFrame]
 
-def _gathered(rows: DataFrame, columns: Sequence[str], order: Sequence[str]) -> Column:
-    """Rows as an array, sorted by ``order`` with nulls as empty text."""
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in order]
-    pairs = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*columns).alias("row"))))
-    return F.transform(pairs, lambda pair: pair["row"])
 
+def write_envelope(envelope: Envelope, path: str) -> None:
+    """``<path>/header`` and one folder per part, JSON lines."""
+    envelope.header.write.text(f"{path}/header")
+    for name, rows in envelope.parts.items():
+        rows.write.options(**_KEEP_NULLS).json(f"{path}/{name}")
 
-def report_document(
+
+def _side_by_side(*single_rows: DataFrame) -> DataFrame:
+    """One-row frames as one row."""
+    keyed = [frame.withColumn("_one", F.lit(1)) for frame in single_rows]
+    joined = keyed[0]
+    for frame in keyed[1:]:
+        joined = joined.join(F.broadcast(frame), "_one")
+    return joined.drop("_one")
+
+
+def _rates(headers: DataFrame) -> DataFrame:
+    return headers.agg(F.first(F.struct("catalog_version", "sha256")).alias("rates"))
+
+
+def report_envelope(
     rows: DataFrame,
     *,
     headers: DataFrame,
@@ -78,15 +93,10 @@ def report_document(
     timezone: str,
     since: Column | None = None,
     until: Column | None = None,
-) -> DataFrame:
-    """A small report as one JSON document (column ``value``)."""
-    _require_small(rows)
-    order = ("month", "agent", "model", "token_kind")
-    gathered = as_output(rows).agg(_gathered(rows, REPORT_COLUMNS, order).alias("rows"))
-    rates = headers.agg(F.first(F.struct("catalog_version", "sha256")).alias("rates"))
+) -> Envelope:
+    """A report with its header; the part ``rows`` has one object per report row."""
     quality = data_quality.select(F.struct(*data_quality.columns).alias("data_quality"))
-    parts = _side_by_side(gathered, rates, quality)
-    return parts.select(
+    header = _side_by_side(_rates(headers), quality).select(
         F.to_json(
             F.struct(
                 F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"),
@@ -96,23 +106,14 @@ def report_document(
                 "rates",
                 F.array(*[F.lit(name) for name in group_by]).alias("group_by"),
                 "data_quality",
-                "rows",
             ),
             _KEEP_NULLS,
         ).alias("value")
     )
+    return Envelope(header, {"rows": as_output(rows).select(*REPORT_COLUMNS)})
 
 
-def _side_by_side(*single_rows: DataFrame) -> DataFrame:
-    """One-row frames as one row."""
-    keyed = [frame.withColumn("_one", F.lit(1)) for frame in single_rows]
-    joined = keyed[0]
-    for frame in keyed[1:]:
-        joined = joined.join(F.broadcast(frame), "_one")
-    return joined.drop("_one")
-
-
-def digest_document(
+def digest_envelope(
     digest: DataFrame,
     *,
     headers: DataFrame,
@@ -122,9 +123,9 @@ def digest_document(
     timezone: str,
     since: Column | None = None,
     until: Column | None = None,
-) -> DataFrame:
-    """A small digest as one JSON document (column ``value``), sessions as a map by id."""
-    _require_small(digest)
+) -> Envelope:
+    """A digest with its header. ``sessions`` has one object per session, sorted by id, with its rows and
+    totals; ``total`` has one, over all sessions. An object's rows are one per agent, model and kind in it."""
     rows = as_output(digest).withColumn("month", F.lit(None).cast("string"))
     is_row = F.col("scope").endswith("_row")
     row = F.when(is_row, F.struct(*REPORT_COLUMNS))
@@ -136,18 +137,13 @@ def digest_document(
         F.first(F.when(~is_row, F.col("matched")), ignorenulls=True).alias("matched"),
         F.first("scope").startswith("total").alias("is_total"),
     )
-    session = F.struct("matched", "rows", "totals")
-    per_session = F.collect_list(F.when(~F.col("is_total"), F.struct("session_id", session)))
-    gathered = grouped.agg(
-        F.map_from_entries(F.array_sort(per_session)).alias("sessions"),
-        F.first(F.when(F.col("is_total"), F.struct("rows", "totals")), ignorenulls=True).alias("total"),
-    )
-    rates = headers.agg(F.first(F.struct("catalog_version", "sha256")).alias("rates"))
+    sessions = grouped.filter(~F.col("is_total")).select("session_id", "matched", "rows", "totals")
+    total = grouped.filter("is_total").select("rows", "totals")
+    # One row per source quality, a fixed number.
     qualities = source_quality.agg(
         F.map_from_entries(F.collect_list(F.struct("source_quality", "facts"))).alias("source_quality")
     )
-    parts = _side_by_side(gathered, rates, qualities, data_quality)
-    return parts.select(
+    header = _side_by_side(_rates(headers), qualities, data_quality).select(
         F.to_json(
             F.struct(
                 F.lit(DIGEST_PROTOCOL_VERSION).alias("protocol_version"),
@@ -156,11 +152,9 @@ def digest_document(
                 F.lit(timezone).alias("timezone"),
                 F.array(*[F.lit(agent) for agent in sorted(agents)]).alias("agent"),
                 "rates",
-                F.map_keys("sessions").alias("session_ids"),
-                "sessions",
-                "total",
                 F.struct(*data_quality.columns, "source_quality").alias("data_quality"),
             ),
             _KEEP_NULLS,
         ).alias("value")
     )
+    return Envelope(header, {"sessions": sessions.orderBy("session_id"), "total": total})
