@@ -30,7 +30,7 @@ def test_counts_equal_brute_force():
 
 
 def test_hosts_are_shrunk_and_judge_their_documents(spark):
-    good, bad = corpora.prose(1, 30), " ".join(["x" + "#" * 9] * 9 + [corpora.prose(5, 20)])
+    good, bad = corpora.prose(1, 30), " ".join([*(f"x{i}" + "#" * 9 for i in range(9)), corpora.prose(5, 20)])
     rows = [(i, good, f"host{i % 20}") for i in range(400)]
     rows += [(1000 + i, f"{corpora.prose(i, 12)} {'###### ' * 30}" if i % 10 else corpora.prose(i, 30), "spam") for i in range(200)]
     rows += [(2000, bad, "tiny")]
@@ -48,5 +48,6 @@ def test_awkward_rows(spark):
     assert quality.judged(corpora.empty(spark)).count() == 0
     kept = quality.filtered(corpora.awkward(spark))
     assert kept.columns == corpora.awkward(spark).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["6", "7", "8", "8", "None", "None"]
+    # Most documents of the host "a" are too short, and it goes.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["6", "7", "8", "8"]
     assert quality.filtered(corpora.empty(spark)).count() == 0

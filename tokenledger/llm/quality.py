@@ -24,7 +24,7 @@ RULES = ("short", "repeats", "symbols", "lines")
 # A host is rejected when the shrunk rate of a rule is over this.
 MAX_RATE = 0.5
 # Bounds of the prior's weight in documents: few hosts, or hosts all alike, say little about the spread.
-MIN_WEIGHT, MAX_WEIGHT = 1.0, 10_000.0
+MIN_WEIGHT, MAX_WEIGHT = 10.0, 10_000.0
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
