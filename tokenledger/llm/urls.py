@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.operators.joins import lookup
+from tokenledger.session import written
 
 
 class Rule(NamedTuple):
@@ -110,7 +111,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     # Each host and path is judged once, however many pages share it.
     places = urls.select(F.concat("host", "path").alias("place")).distinct()
     tokens = places.select("place", F.explode(tokens_of(F.col("place"))).alias("url_token"))
-    candidates = lookup(tokens, indexed(rules, places), {"url_token": "token"}, how="inner")
+    # Written, as it is measured before it is joined.
+    index = written(indexed(rules, places))
+    candidates = lookup(tokens, index, {"url_token": "token"}, how="inner")
     fits = F.regexp_like("place", F.col("pattern"))
     rank = F.struct("priority", F.length("name").alias("length"), "name")
     best = F.max_by(F.struct("name", "rule_verdict"), F.when(fits, rank)).alias("best")
