@@ -10,8 +10,8 @@
    below the threshold by more than it may err go.
 4. Links are confirmed on the full sets, and components are made of them.
 5. Buckets that still hold several components are compared in blocks of about ``BLOCK`` x ``BLOCK`` sketches.
-   Of the pairs across components that pass the sketch, first each member's best one with each component is
-   confirmed on full sets; then, in buckets that still hold several components, every one.
+   Pairs across components that pass the sketch are confirmed on full sets like the others. A pair that shares
+   several bands comes from the first of them only.
 
 So every pair that shares a band is either in one component already or compared. A pair at the threshold
 shares no band with a probability of about 3e-6 at 0.8 and 2e-9 at 0.85, and fails the sketch with about 3e-6.
@@ -28,6 +28,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,9 +95,9 @@ def odd_sketch(values: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(parity).tobytes(), len(first)
 
 
-def estimated(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The similarity that sketches with ``differ`` unequal bits tell of sets near the threshold, and how far it
-    may be off, given the sums of both sketches' samples and of both sets' shingles.
+def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches with ``differ`` unequal bits may be of sets as similar as the threshold, given the sums
+    of both sketches' samples and of both sets' shingles.
 
     The similarity is the share of ranges with equal samples among the ranges that either set reaches. The
     bits give the first, the size of the union at the threshold the second. It errs as a sample of the union
@@ -108,13 +109,8 @@ def estimated(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, th
     reached = SAMPLES * -np.expm1(-union / SAMPLES)
     of_sample = threshold * (1 - threshold) / reached * (1 - reached / np.maximum(union, reached))
     of_bits = 2 * (1 - threshold) ** 2 / SKETCH_BITS
-    return equal / reached, DEVIATIONS * np.sqrt(of_sample + of_bits)
-
-
-def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sketches may be of sets as similar as the threshold."""
-    similarity, margin = estimated(differ, samples, shingles_, threshold)
-    return similarity >= threshold - margin
+    margin = DEVIATIONS * np.sqrt(of_sample + of_bits)
+    return equal / reached >= threshold - margin
 
 
 def fingerprint(values: np.ndarray) -> bytes:
@@ -151,13 +147,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _passing(threshold: float):
     """A column: whether two sketches may be of sets as similar as the threshold."""
 
-    @F.pandas_udf("boolean")
-    def passes(a: pd.Series, b: pd.Series, samples: pd.Series, shingles_: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def passes(a: pa.Array, b: pa.Array, samples: pa.Array, shingles_: pa.Array) -> pa.Array:
         if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
+            return pa.array([], pa.bool_())
+        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint64).reshape(len(s), -1) for s in (a, b))
         differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return pd.Series(could_link(differ, samples.to_numpy(), shingles_.to_numpy(), threshold))
+        return pa.array(could_link(differ, np.asarray(samples), np.asarray(shingles_), threshold))
 
     return passes
 
@@ -190,17 +186,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     sets = written(made.filter(F.col("values").isNotNull()).dropDuplicates(["doc_id"]))
     one, two = sets.toDF("id_a", "set_a"), sets.toDF("id_b", "set_b")
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
+    def linked(a: bytes, b: bytes) -> dict:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return {"linked": 100 * common >= percent * (len(x) + len(y) - common)}
 
     joined = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-    return joined.filter(linked("set_a", "set_b")).select("a", "b")
+    return joined.filter(computed(linked, "linked: boolean", F.col("set_a"), F.col("set_b"))["linked"]).select("a", "b")
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
@@ -213,12 +205,11 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
     return joined.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Pairs of bucket members in different components that pass the sketch, by blocks of each bucket; with
-    ``best`` only the most similar one of each member and component of a block."""
+def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of bucket members in different components that pass the sketch, by blocks of each bucket."""
     # Both members of a bucket of two have been compared.
     wide = members.filter(F.col("n_members") > 2).join(labels, F.col("doc_id") == F.col("node"), "left")
-    wide = wide.select("band", "doc_id", "n_members", F.coalesce("component", "doc_id").alias("component"))
+    wide = wide.select("band", "nth", "doc_id", "n_members", F.coalesce("component", "doc_id").alias("component"))
     mixed_bands = wide.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     mixed_bands = mixed_bands.filter(F.col("x") != F.col("y")).select("band")
     open_members = wide.join(mixed_bands, "band", "left_semi")
@@ -230,10 +221,11 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
         F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"),
         (F.col("mine") <= F.col("other")).alias("first"),
         (F.col("mine") >= F.col("other")).alias("second"),
+        "nth",
         "doc_id",
         "component",
     )
-    side = classes.select(F.col("doc_id").alias("of"), "sketch", "n_samples", "n_shingles")
+    side = classes.select(F.col("doc_id").alias("of"), "sketch", "n_samples", "n_shingles", "bands")
     dealt = dealt.join(side, F.col("doc_id") == F.col("of")).drop("of")
 
     def compared(batches):
@@ -254,18 +246,15 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
     def unit_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         ids, labels_ = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        bands, nth = np.array(rows["bands"].tolist()), rows["nth"].iat[0]
         samples, counts = rows["n_samples"].to_numpy(), rows["n_shingles"].to_numpy()
         first, second = np.flatnonzero(rows["first"]), np.flatnonzero(rows["second"])
         found: list[np.ndarray] = []
         for i in first:
             others = second[(labels_[second] != labels_[i])]
             differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            similarity, margin = estimated(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)
-            passing = similarity >= threshold - margin
-            passed = others[passing]
-            if best:
-                passed = passed[np.argsort(-similarity[passing], kind="stable")]
-                passed = passed[np.unique(labels_[passed], return_index=True)[1]]
+            passed = others[could_link(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)]
+            passed = passed[~(bands[passed, :nth] == bands[i, :nth]).any(axis=1)]
             found.append(np.stack([np.minimum(ids[passed], ids[i]), np.maximum(ids[passed], ids[i])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -287,22 +276,18 @@ def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = per_doc.filter(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("of_class"))
     classes = made.join(first, ["fingerprint"]).filter(F.col("doc_id") == F.col("of_class")).dropDuplicates(["doc_id"])
     classes = written(classes.drop("of_class", "text_order"))
-    exploded = classes.select("doc_id", F.explode("bands").alias("band"))
+    exploded = classes.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n_members")).filter(F.col("n_members") > 1)
     members = written(exploded.join(shared.withColumnRenamed("band", "key"), F.col("band") == F.col("key")).drop("key"))
 
     pairs = written(_sketched(_leader_pairs(members), classes, threshold))
     links = written(_confirmed(pairs, classes, docs, percent))
     labels = components(links)
-    seen = pairs
-    for best in (True, False):
-        cross = _cross_pairs(members, labels, classes, threshold, best)
-        cross = written(cross.join(seen, ["a", "b"], "left_anti"))
-        if cross.isEmpty():
-            continue
-        seen = seen.unionAll(cross)
-        links = written(links.unionAll(_confirmed(cross, classes, docs, percent)))
-        labels = components(links)
+    cross = _cross_pairs(members, labels, classes, threshold)
+    cross = written(cross.join(pairs, ["a", "b"], "left_anti"))
+    more = written(_confirmed(cross, classes, docs, percent))
+    if not more.isEmpty():
+        labels = components(links.unionAll(more))
 
     classed = first.join(labels, F.col("of_class") == F.col("node"), "left")
     classed = classed.select(F.col("fingerprint").alias("key"), F.coalesce("component", "of_class").alias("component"))

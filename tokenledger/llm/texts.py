@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows handed to a Python function at once; a batch that Arrow delivers is cut into such slices.
-SLICE_ROWS = 512
+# Rows handed to a Python worker at once. Texts may be very long, so batches are kept far below Spark's default.
+BATCH_ROWS = 256
 
 # ASCII upper to lower case, and every byte that cannot be part of a letter-and-digit word to a space. Bytes from
 # 0x80 on belong to characters outside ASCII and are kept.
@@ -31,13 +31,18 @@ def alnum_words(data: bytes | None) -> list[bytes]:
     return data.translate(ALNUM).split() if data else []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def mapped(
     df: DataFrame,
     columns: dict[str, Column],
     function: Callable[[dict[str, list]], dict[str, list]],
     schema: T.StructType | str,
 ) -> DataFrame:
-    """Rows of ``function`` over slices of ``columns``, which are all that leaves the JVM.
+    """Rows of ``function`` over batches of ``columns``, which are all that leaves the JVM.
 
     ``function`` takes and returns columns as lists; it may return more or fewer rows than it takes. It has
     to be deterministic, as a lost task is run again.
@@ -47,31 +52,28 @@ def mapped(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start in range(0, part.num_rows, SLICE_ROWS):
-                rows = function(part.slice(start, SLICE_ROWS).to_pydict())
-                arrays = [pa.array(rows[field.name], field.type) for field in arrow]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            rows = function(part.to_pydict())
+            arrays = [pa.array(rows[field.name], field.type) for field in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.select(*(column.alias(name) for name, column in columns.items())).mapInArrow(batches, schema)
 
 
 def computed(function: Callable[..., dict], schema: str, *columns: Column) -> Column:
     """A struct per row: ``function`` of the row's values of ``columns``, other columns stay in the JVM.
 
-    Values arrive in Arrow batches and become Python values a slice at a time. ``function`` has to be
-    deterministic.
+    Values arrive in Arrow batches. ``function`` has to be deterministic.
     """
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     @F.arrow_udf(kind)
     def over(*arrays: pa.Array) -> pa.Array:
-        parts = []
-        for start in range(0, max(1, len(arrays[0])), SLICE_ROWS):
-            values = zip(*(array.slice(start, SLICE_ROWS).to_pylist() for array in arrays), strict=True)
-            parts.append(pa.array([function(*row) for row in values], pa.struct(list(arrow))))
-        return pa.concat_arrays(parts)
+        values = zip(*(array.to_pylist() for array in arrays), strict=True)
+        return pa.array([function(*row) for row in values], pa.struct(list(arrow)))
 
+    small_batches(SparkSession.active())
     return over(*columns)
 
 
