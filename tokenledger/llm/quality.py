@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm.texts import blank_words, computed
+from tokenledger.operators.joins import fits_broadcast, lookup
 from tokenledger.session import written
 
 RULES = ("short", "repeats", "symbols", "lines")
@@ -125,10 +126,10 @@ def host_verdicts(rates: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def judged(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """Counts and verdict of every document. The texts are read once; counts are written for both readers."""
     measures = written(measured(docs))
-    hosts = host_verdicts(host_rates(measures), max_rate).withColumnRenamed("host", "verdict_host")
+    hosts = written(host_verdicts(host_rates(measures), max_rate).withColumnRenamed("host", "verdict_host"))
     base_failed = F.col("fails_short") | F.col("fails_repeats")
-    # A hot host is a hot key of this join of narrow rows: one row on the other side, split by adaptive execution.
-    return measures.join(hosts, F.col("host") == F.col("verdict_host"), "left").select(
+    # Hosts measured to be few go to all tasks; for more, documents of a hot host are spread over salted keys.
+    return lookup(measures, hosts, {"host": "verdict_host"}).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -145,6 +146,6 @@ def filtered(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     hosts = written(host_verdicts(host_rates(measured(docs)), max_rate).filter("host_rejected").select("host"))
     counts = measures_of(F.col("text"))
     passing = docs.filter((counts["n_words"] >= 10) & (100 * counts["n_repeat_words"] <= 20 * counts["n_words"]))
-    host = F.coalesce(passing["source"], F.lit(""))
-    # Hosts that are rejected are few; many of them are joined by a shuffle that adaptive execution splits.
-    return passing.join(hosts, host == hosts["host"], "left_anti")
+    small = F.broadcast(hosts) if fits_broadcast(hosts) else hosts
+    # Too many hosts for that are shuffled, and adaptive execution splits a hot one, as no task needs all of it.
+    return passing.join(small, F.coalesce(passing["source"], F.lit("")) == small["host"], "left_anti")
