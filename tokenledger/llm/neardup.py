@@ -172,7 +172,9 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are as similar as the threshold. Sets are made again for their texts only."""
     known = classes.select("doc_id", F.col("fingerprint").alias("expected"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # Each side is made distinct before it is shuffled: a document may be in very many pairs.
+    sides = [pairs.select(F.col(side).alias("doc_id")).distinct() for side in ("a", "b")]
+    wanted = sides[0].unionAll(sides[1]).distinct()
     wanted = written(known.join(wanted, "doc_id").withColumnRenamed("doc_id", "wanted"))
     small = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     chosen = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("wanted"))
