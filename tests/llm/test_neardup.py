@@ -77,6 +77,51 @@ def test_odd_sketches_estimate_high_similarity():
             assert could == (similarity > 0.8), (n, similarity)
 
 
+def pairs_of_sets(rng, union, similarity, n):
+    """Sets at the similarity or just over it, by the shingles of their union."""
+    common = -(-union * round(similarity * 100) // 100)
+    for _ in range(n):
+        both = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+        own = common + (union - common) // 2
+        yield np.sort(both[:own]), np.sort(np.concatenate([both[:common], both[own:]]))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_lose_no_links(percent):
+    rng = np.random.default_rng(percent)
+    for similarity in (percent / 100, 0.9):
+        for union in (5, 10, 20, 40, 100, 200, 300, 1000, 2200, 2400, 3000, 6000):
+            rows = []
+            for x, y in pairs_of_sets(rng, union, similarity, 2000 if union <= 1000 else 400):
+                (a, k), (b, m) = neardup.sketches(x), neardup.sketches(y)
+                rows.append((a, b, k + m, len(x) + len(y)))
+            one, two = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64).reshape(len(rows), -1) for i in (0, 1))
+            sums = (np.array([r[i] for r in rows]) for i in (2, 3))
+            assert neardup.passing(one, two, *sums, percent / 100).all(), (similarity, union)
+
+
+def short_pairs(percent, n, per_union=(10, 21, 45)):
+    """Texts in pairs just at the threshold or over it, in a few distinct shingles."""
+    docs = []
+    for i in range(n):
+        union = per_union[i % len(per_union)]
+        common = -(-union * percent // 100)
+        own = (union - common) // 2
+        # Words of a shared middle make common shingles; words put before or behind it make own ones.
+        middle = [f"m{i}x{j}" for j in range(common + 4)]
+        docs.append((2 * i, " ".join([f"a{i}x{j}" for j in range(own)] + middle)))
+        docs.append((2 * i + 1, " ".join(middle + [f"b{i}x{j}" for j in range(union - common - own)])))
+    return docs
+
+
+def test_short_texts_at_the_threshold_are_linked(spark):
+    docs = short_pairs(85, 600, (20, 40, 100))
+    sets = {i: shingle_set(text) for i, text in docs}
+    assert all(100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1]) for i in range(0, 1200, 2))
+    got = neardup.grouped(corpora.documents(spark, *docs), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i, _ in docs}
+
+
 def test_bands_meet_as_often_as_they_should():
     rng = np.random.default_rng(2)
     met = 0

@@ -1,20 +1,24 @@
 """Near-duplicates by MinHash bands, with candidates verified by odd sketches and then by full shingle sets.
 
 1. A text becomes its set of distinct five-word shingles, 64-bit hashes. From the set come MinHash values, in
-   bands; an odd sketch; and a fingerprint. Texts with equal sets are one class, and its least document stands
+   bands; sketches; and a fingerprint. Texts with equal sets are one class, and its least document stands
    for it.
 2. Classes that share a band are in one bucket. In each bucket the member that shares most buckets is the
    leader, and every member is paired with it, so a bucket of n members gives n - 1 pairs.
-3. The odd sketch folds MinHash samples (the least hash in each of ``SAMPLES`` ranges) into a parity bitmap;
-   the population count of the XOR of two bitmaps estimates how many samples differ. Pairs whose estimate is
-   below the threshold by more than it may err go.
+3. An odd sketch folds hashes into a parity bitmap. The first folds the whole set: the XOR of two bitmaps has
+   at most as many bits as the sets have differing shingles, so pairs with more bits than sets at the threshold
+   may differ by go, and never a link. The second folds MinHash samples (the least hash in each of ``SAMPLES``
+   ranges) and estimates how many samples differ, of as many as either set has by a bitmap of the ranges it
+   reaches. It is asked only for pairs of at least ``LARGE`` shingles
+   together, where the first fills up; pairs whose estimate is below the threshold by more than it may err go.
 4. Links are confirmed on the full sets, and components are made of them.
 5. Buckets that still hold several components are compared in blocks of about ``BLOCK`` x ``BLOCK`` sketches.
-   Pairs across components that pass the sketch are confirmed on full sets like the others. A pair that shares
+   Pairs across components that pass the sketches are confirmed on full sets like the others. A pair that shares
    several bands comes from the first of them only.
 
 So every pair that shares a band is either in one component already or compared. A pair at the threshold
-shares no band with a probability of about 3e-6 at 0.8 and 2e-9 at 0.85, and fails the sketch with about 3e-6.
+shares no band with a probability of about 3e-6 at 0.8 and 2e-9 at 0.85. It fails the sketches with about 3e-6
+if it has ``LARGE`` shingles together, and never if it has fewer.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text with one to four
 words has one shingle, all of them; rows that repeat a doc_id are one document with the shingles of one
@@ -24,6 +28,7 @@ result; columns other than doc_id and text are not read, and ``deduplicated`` ke
 
 from __future__ import annotations
 
+import itertools
 import struct
 
 import numpy as np
@@ -43,6 +48,10 @@ BANDS, ROWS = 42, 6
 # Ranges of the odd sketch's samples, its bits, and how many standard deviations its estimate may be below the
 # threshold, which it is by chance once in 300,000 pairs.
 SAMPLES, SKETCH_BITS, DEVIATIONS = 1024, 2048, 4.5
+# Shingles of both sets from which on the samples are asked, too. There the estimate is close to normal.
+LARGE = 4096
+# Where the parts of ``sketches`` lie, in 64-bit words.
+_SKETCH_PARTS = (0, SKETCH_BITS // 64, SKETCH_BITS // 32, SKETCH_BITS // 32 + SAMPLES // 64)
 # Sketches compared at once.
 BLOCK = 512
 
@@ -85,34 +94,65 @@ def bands_of(values: np.ndarray) -> np.ndarray:
     return mixed(keys + _BAND_SEEDS)
 
 
+def _parity(values: np.ndarray) -> bytes:
+    bits = (mixed(values) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def odd_sketch(values: np.ndarray) -> tuple[bytes, int]:
     """The parity bitmap of the samples and how many there are. ``values`` are sorted, so the first in each
     range is its least."""
     ranges = values >> np.uint64(64 - SAMPLES.bit_length() + 1)
     first = np.flatnonzero(np.diff(ranges, prepend=np.uint64(SAMPLES)))
-    bits = (mixed(values[first]) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).tobytes(), len(first)
+    return _parity(values[first]), len(first)
+
 
+def sketches(values: np.ndarray) -> tuple[bytes, int]:
+    """The parity bitmaps of the whole set and of its samples and the bitmap of the ranges it reaches, one after the
+    other, and how many samples there are."""
+    sampled, n_samples = odd_sketch(values)
+    ranges = (values >> np.uint64(64 - SAMPLES.bit_length() + 1)).astype(np.int64)
+    reached = np.packbits(np.bincount(ranges, minlength=SAMPLES) > 0).tobytes()
+    return _parity(values) + sampled + reached, n_samples
 
-def could_link(differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
+
+def could_link(
+    differ: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float, reached: np.ndarray | None = None
+) -> np.ndarray:
     """Whether sketches with ``differ`` unequal bits may be of sets as similar as the threshold, given the sums
-    of both sketches' samples and of both sets' shingles.
+    of both sketches' samples and of both sets' shingles, and how many ranges either set reaches; without the last,
+    what that number is expected to be, from which it may be far in small sets.
 
     The similarity is the share of ranges with equal samples among the ranges that either set reaches. The
-    bits give the first, the size of the union at the threshold the second. It errs as a sample of the union
-    does, and by samples that meet in one bit.
+    bits give the first. It errs as a sample of the union does, and by samples that meet in one bit.
     """
     left = np.maximum(1 - 2 * differ / SKETCH_BITS, 1 / SKETCH_BITS)
     equal = (samples + SKETCH_BITS / 2 * np.log(left)) / 2
     union = shingles_ / (1 + threshold)
-    reached = SAMPLES * -np.expm1(-union / SAMPLES)
+    if reached is None:
+        reached = SAMPLES * -np.expm1(-union / SAMPLES)
     of_sample = threshold * (1 - threshold) / reached * (1 - reached / np.maximum(union, reached))
-    of_bits = 2 * (1 - threshold) ** 2 / SKETCH_BITS
+    full = 8 * (1 - threshold) * reached / SKETCH_BITS
+    of_bits = SKETCH_BITS / 16 * (np.expm1(full) - full) / reached**2
     margin = DEVIATIONS * np.sqrt(of_sample + of_bits)
     return equal / reached >= threshold - margin
 
 
+def passing(x: np.ndarray, y: np.ndarray, samples: np.ndarray, shingles_: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the rows of two arrays of ``sketches`` may be of sets as similar as the threshold, given the sums
+    of both sets' samples and shingles."""
+    whole, sampled, ranges = (slice(i, j) for i, j in itertools.pairwise(_SKETCH_PARTS))
+    y = np.broadcast_to(y, x.shape)
+    differ = np.bitwise_count(x[:, whole] ^ y[:, whole]).sum(axis=1, dtype=np.int64)
+    may = differ * (1 + threshold) <= shingles_ * (1 - threshold) + 1e-6
+    large = np.flatnonzero(may & (shingles_ >= LARGE))
+    if len(large):
+        differ = np.bitwise_count(x[large, sampled] ^ y[large, sampled]).sum(axis=1, dtype=np.int64)
+        reached = np.bitwise_count(x[large, ranges] | y[large, ranges]).sum(axis=1, dtype=np.int64)
+        may[large] = could_link(differ, samples[large], shingles_[large], threshold, reached)
+    return may
+
+
 def fingerprint(values: np.ndarray) -> bytes:
     return struct.pack(">q", len(values)) + xxhash.xxh128_digest(values.tobytes())
 
@@ -121,7 +161,7 @@ def _signature(data: bytes | None) -> dict:
     values = shingles(data)
     if not len(values):
         return {"n_shingles": 0, "fingerprint": None, "bands": [], "sketch": None, "n_samples": 0}
-    sketch, n_samples = odd_sketch(values)
+    sketch, n_samples = sketches(values)
     return {
         "n_shingles": len(values),
         "fingerprint": fingerprint(values),
@@ -152,8 +192,7 @@ def _passing(threshold: float):
         if not len(a):
             return pa.array([], pa.bool_())
         x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint64).reshape(len(s), -1) for s in (a, b))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return pa.array(could_link(differ, np.asarray(samples), np.asarray(shingles_), threshold))
+        return pa.array(passing(x, y, np.asarray(samples), np.asarray(shingles_), threshold))
 
     return passes
 
@@ -247,15 +286,15 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, thre
 
     def unit_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         ids, labels_ = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        bitmaps = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
         bands, nth = np.array(rows["bands"].tolist()), rows["nth"].iat[0]
         samples, counts = rows["n_samples"].to_numpy(), rows["n_shingles"].to_numpy()
         first, second = np.flatnonzero(rows["first"]), np.flatnonzero(rows["second"])
         found: list[np.ndarray] = []
         for i in first:
             others = second[(labels_[second] != labels_[i])]
-            differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            passed = others[could_link(differ, samples[others] + samples[i], counts[others] + counts[i], threshold)]
+            sums = samples[others] + samples[i], counts[others] + counts[i]
+            passed = others[passing(bitmaps[others], bitmaps[i], *sums, threshold)]
             passed = passed[~(bands[passed, :nth] == bands[i, :nth]).any(axis=1)]
             found.append(np.stack([np.minimum(ids[passed], ids[i]), np.maximum(ids[passed], ids[i])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
