@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm import corpora
 from tokenledger.llm import components, neardup
 
@@ -154,3 +155,11 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "8", "9", "None", "None"]
     assert neardup.deduplicated(corpora.empty(spark)).count() == 0
+
+
+def test_pipeline_stage_keeps_one_of_each_short_pair(spark):
+    docs = short_pairs(80, 900)
+    expected = set(brute(docs, 80).values())
+    assert expected == set(range(0, 1800, 2))
+    got = corpus_pipeline.near_duplicates(spark, corpora.documents(spark, *docs), "")
+    assert {r["doc_id"] for r in got.collect()} == expected
