@@ -69,6 +69,35 @@ def test_changed_and_repeated_notices():
     assert scan("") == []
 
 
+def test_notices_that_follow_each_other_are_found():
+    for name, notice in licenses.TEMPLATES.items():
+        size = len(notice.split())
+        for copies in (2, 3, 5):
+            for between in (0, 1, 3, size // 2, size, 2 * size):
+                text = f"\n{corpora.prose(6, between)} ".join([notice] * copies)
+                for before, behind in ((40, 40), (0, 40), (300, 0)):
+                    whole = f"{corpora.prose(4, before)} {text} {corpora.prose(5, behind)}"
+                    found = {f["license"]: f for f in scan(whole)}
+                    assert found[name]["coverage"] == 1.0, (name, copies, between)
+                    cut = whole[found[name]["start"] : found[name]["end"]]
+                    assert cut.split()[0].strip('("') == notice.split()[0]
+
+
+def test_changed_notices_that_follow_each_other_are_found():
+    rng = random.Random(12)
+    for name, notice in licenses.TEMPLATES.items():
+        words_ = notice.split()
+        for _ in range(100):
+            changed = list(words_)
+            for _ in range(rng.randrange(1, 1 + max(1, len(words_) // 10))):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[], ["other"], [changed[at], "more"]])
+            prose, one = corpora.prose(7, 60), " ".join(changed)
+            alone = {f["license"]: f["coverage"] for f in scan(f"{prose} {one} {prose}")}
+            twice = {f["license"]: f["coverage"] for f in scan(f"{prose} {one} {one} {prose}")}
+            assert name not in alone or twice.get(name, 0) >= licenses.MIN_COVERAGE, one
+
+
 def test_probe_words_lose_no_covered_notice():
     rng = random.Random(9)
     given_ = tuple(licenses.TEMPLATES.items())

@@ -7,7 +7,9 @@ gap has no anchors, equal words at its two ends are matched. Coverage is the mat
 A template can only be covered to ``MIN_COVERAGE`` if the text has one of its probe words, those of more
 positions than may go unmatched, so only stretches around probe words are aligned. The probe words are those
 with the fewest occurrences over all templates and, among these, the longest. A stretch reaches as far as a
-covered notice around its probe word can, so a notice that occurs twice in a text is unique in its stretch.
+covered notice around its probe word can. Where notices follow each other closely it holds several, whose words
+are no anchors; so if it has the words to cover more than was matched, narrower stretches are aligned, too: the
+probe word stands at each of its places in the template, and slacks of several widths are left before and behind.
 
 Defined cases: null and empty texts match nothing; of templates with equal coverage in a text the one with more
 matched words is named, then the first in order; repeated rows are rows; an empty table gives an empty result;
@@ -20,6 +22,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from functools import cache
+from itertools import product
+from math import ceil
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +109,9 @@ class Template(NamedTuple):
     name: str
     words: list[bytes]
     probes: frozenset[bytes]
+    # How many of each word, and how many words a narrower stretch leaves for others on one side.
+    counts: Counter[bytes]
+    slacks: list[int]
 
 
 @cache
@@ -119,13 +126,38 @@ def prepared(templates: tuple[tuple[str, str], ...], min_coverage: float) -> tup
             if sum(w in probes for w in own) > may_miss:
                 break
             probes.add(word)
-        out.append(Template(name, own, frozenset(probes)))
+        slacks, slack = [0], max(1, int(may_miss))
+        while slack <= len(own):
+            slacks.append(slack)
+            slack *= 2
+        out.append(Template(name, own, frozenset(probes), Counter(own), slacks))
     return tuple(out)
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def narrower(words: list[bytes], at: int, template: Template, least: int) -> tuple[int, list[tuple[int, int]]]:
+    """The narrower stretch around the probe word at ``at`` that matches most, at least ``least`` words: where it
+    begins, and its matches."""
+    size, best = len(template.words), (at, [])
+    for before, behind in sorted(product(template.slacks, repeat=2), key=sum):
+        for place, word in enumerate(template.words):
+            first, last = at - place - before, at - place + size + behind
+            if word != words[at]:
+                continue
+            stretch = words[max(0, first) : last]
+            # No more can match than the stretch has of the template's words.
+            if (Counter(stretch) & template.counts).total() < least:
+                continue
+            matched = align(stretch, template.words)
+            if len(matched) >= least:
+                best, least = (max(0, first), matched), len(matched) + 1
+            if least > size:
+                return best
+    return best
+
+
 def scan(data: bytes | None, templates: tuple[Template, ...], min_coverage: float) -> list[dict]:
     """Every template that is covered, with its best stretch as words and as code points of the text."""
     words = alnum_words(data)
@@ -143,6 +175,11 @@ def scan(data: bytes | None, templates: tuple[Template, ...], min_coverage: floa
             first = max(0, at - STRETCH * size)
             stretch = words[first : at + STRETCH * size]
             matched = align(stretch, template.words)
+            least = max(len(matched) + 1, ceil(min_coverage * size))
+            if least <= size and (Counter(stretch) & template.counts).total() >= least:
+                start, narrow = narrower(words, at, template, least)
+                if narrow:
+                    first, matched = start, narrow
             if not best or len(matched) > len(best):
                 best = [(first + i, j) for i, j in matched]
             if len(matched) >= min_coverage * size:
