@@ -67,6 +67,20 @@ def test_bins_of_many_groups(spark):
     assert len(whole) <= len(split)
 
 
+def test_groups_of_distinct_rows_are_packed_whole(spark):
+    rng = random.Random(7)
+    docs = [(i, corpora.prose(i, rng.randrange(1, 60)), rng.choice([None, f"s{i % 90}"])) for i in range(1500)]
+    groups = defaultdict(list)
+    sources = {i: source for i, _, source in docs}
+    for p in packing.packed(corpora.documents(spark, *docs), capacity=64, group_rows=100).collect():
+        groups[p["bin_id"] >> 32].append((p["doc_id"], p["n_tokens"], p["bin_id"] & 0xFFFFFFFF, p["offset"]))
+    assert max(len(rows) for rows in groups.values()) > 100
+    for rows in groups.values():
+        rows.sort(key=lambda r: (-r[1], r[0]))
+        columns = [r[1] for r in rows], [sources[r[0]] for r in rows], [None] * len(rows)
+        assert [r[2:] for r in rows] == naive(*columns, 64)
+
+
 def test_named_clusters_conflict(spark):
     docs = corpora.documents(spark, *((i, corpora.prose(i, 10), None) for i in range(6))).selectExpr("*", "doc_id % 3 as c")
     bins = defaultdict(list)

@@ -5,8 +5,8 @@ of one source or cluster share a bin. Pieces come largest first. Open bins are o
 search starts at the tightest bin the piece fits into and goes on to its successors until one is compatible.
 
 A document longer than a bin is cut into full bins and a rest. Bins are made within groups of about
-``GROUP_ROWS`` documents, to which a hash deals them, so groups are packed side by side in bounded memory; a
-group that equal rows make larger is packed in runs of that many rows.
+``GROUP_ROWS`` documents, to which a hash deals them, so groups are packed side by side in bounded memory. A
+group that is larger than chance makes it, as equal rows do, is packed in runs of ``most_rows`` rows.
 
 Defined cases: a text without tokens, null texts included, has a row without a bin; a null source or cluster
 conflicts with nothing; ties go to the least document id, text hash and oldest bin; repeated rows are packed
@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pandas as pd
 import xxhash
@@ -62,10 +63,15 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return placed
 
 
+def most_rows(group_rows: int) -> int:
+    """The rows of a group that are packed at once: the mean and eight standard deviations of what a hash deals."""
+    return group_rows + 8 * (isqrt(group_rows) + 1)
+
+
 _PIECES = "doc_id long, piece int, n_tokens long, bin_id long, offset long"
 
 
-def _packer(capacity: int, most_rows: int):
+def _packer(capacity: int, most: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Groups come in order, and a group's rows may go over several batches.
         group, rows, bins = None, [], 0
@@ -93,7 +99,7 @@ def _packer(capacity: int, most_rows: int):
         for batch in batches:
             columns = (batch[name].tolist() for name in ("pack_group", "doc_id", "n_tokens", "source", "cluster"))
             for of, doc_id, n_tokens, source, cluster in zip(*columns, strict=True):
-                if rows and (of != group or len(rows) == most_rows):
+                if rows and (of != group or len(rows) == most):
                     yield run()
                 if of != group:
                     group, bins = of, 0
@@ -130,7 +136,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None
     # Nothing but narrow rows is shuffled. Long documents first, then by id, within each group.
     dealt = dealt.repartition("pack_group").sortWithinPartitions("pack_group", F.desc("n_tokens"), "doc_id", "digest")
     columns = ("pack_group", "doc_id", "n_tokens", "source", "cluster")
-    bins = dealt.select(*columns).mapInPandas(_packer(capacity, group_rows), _PIECES)
+    bins = dealt.select(*columns).mapInPandas(_packer(capacity, most_rows(group_rows)), _PIECES)
     none = F.lit(None).cast("long")
     without = sizes.filter("n_tokens = 0").select("doc_id", F.lit(0).alias("piece"), "n_tokens", none.alias("bin_id"), none.alias("offset"))
     return bins.unionAll(without)
