@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenledger.llm import quality, urls
+from tokenledger.llm import chat, quality, urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -132,9 +132,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(ids), 0)
 FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+_MARK = chat.ESCAPABLE
+_BLOCK = len(chat.START + chat.SEP + chat.END)
+
+OP13 = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+    SELECT *, length(regexp_replace(role, '{_MARK}', '\1\2\\\3', 'g')) AS role_size,
+        length(regexp_replace(text, '{_MARK}', '\1\2\\\3', 'g')) AS text_size,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS merged
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(text_size + CASE WHEN merged THEN {len(chat.NEXT)} ELSE role_size + {_BLOCK} END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_url_filters": OP2,
     "op4_neardup": OP4,
     "op7_decontamination": OP7,
+    "op13_chat_formatting": OP13,
 }
