@@ -28,12 +28,17 @@ CONTRACT = {
     "op7_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_lexical_search": "item_id rank doc_id score",
     "op13_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
 }
 
 
 # The other queries answer for documents.
-TABLES = {"op2_url_filters": ("pages", "page_id"), "op13_chat_formatting": ("conversations", "conv_id")}
+TABLES = {
+    "op2_url_filters": ("pages", "page_id"),
+    "op11_lexical_search": ("benchmark", "item_id"),
+    "op13_chat_formatting": ("conversations", "conv_id"),
+}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenledger.llm import chat, quality, urls
+from tokenledger.llm import chat, lexical, quality, urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -132,6 +132,35 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(ids), 0)
 FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+OP11 = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_WORD}') AS words FROM documents
+), sums AS (
+    SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs
+), item_terms AS (
+    SELECT q, item_id, t, count(*) AS repeats
+    FROM (
+        SELECT row_number() OVER () AS q, item_id,
+            unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_WORD}')) AS t
+        FROM benchmark
+    )
+    GROUP BY ALL
+), held AS (
+    SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM docs)
+    WHERE t IN (SELECT t FROM item_terms) GROUP BY ALL
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, sums GROUP BY t, n_docs
+), scores AS (
+    SELECT q, item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf)
+        // (1000 * tf + 12 * (100 - 25 + ((25 * len(words) * n_docs) // n_terms)))))::BIGINT AS score
+    FROM item_terms JOIN held USING (t) JOIN weights USING (t) JOIN docs USING (r), sums
+    GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {lexical.TOP}
+"""
+
 _MARK = chat.ESCAPABLE
 _BLOCK = len(chat.START + chat.SEP + chat.END)
 
@@ -158,5 +187,6 @@ ORACLES = {
     "op2_url_filters": OP2,
     "op4_neardup": OP4,
     "op7_decontamination": OP7,
+    "op11_lexical_search": OP11,
     "op13_chat_formatting": OP13,
 }

@@ -11,6 +11,7 @@ from tokenledger.llm import (
     chat,
     decontamination,
     language,
+    lexical,
     licenses,
     neardup,
     packing,
@@ -87,6 +88,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # A conversation whose texts look like marks.
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scans,
         op9_sharding,
         op10_license_scans,
+        op11_lexical_search,
         op13_chat_formatting,
     )
 }
