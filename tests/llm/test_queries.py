@@ -29,6 +29,7 @@ CONTRACT = {
     "op8_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op11_lexical_search": "item_id rank doc_id score",
+    "op12_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
     "op13_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
 }
 
@@ -37,6 +38,7 @@ CONTRACT = {
 TABLES = {
     "op2_url_filters": ("pages", "page_id"),
     "op11_lexical_search": ("benchmark", "item_id"),
+    "op12_centroid_clustering": ("embeddings", "vec_id"),
     "op13_chat_formatting": ("conversations", "conv_id"),
 }
 

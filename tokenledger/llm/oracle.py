@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenledger.llm import chat, lexical, quality, urls
+from tokenledger.llm import chat, clustering, lexical, quality, urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -161,6 +161,46 @@ SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NU
 FROM scores WHERE score > 0 QUALIFY rank <= {lexical.TOP}
 """
 
+
+def _nearest(i: int) -> str:
+    """Vectors with their nearest centroid of round ``i``."""
+    return f"""a{i} AS MATERIALIZED (
+    SELECT r, vec_id, v, k, d FROM (
+        SELECT r, vec_id, kept.v, k, list_sum(list_transform(range(1, {clustering.DIMENSION + 1}),
+            lambda j: (kept.v[j] - c{i}.v[j]) * (kept.v[j] - c{i}.v[j]))) AS d
+        FROM kept, c{i}
+    ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+)"""
+
+
+def _moved(i: int) -> str:
+    """Centroids of round ``i`` + 1: exact floors of the means."""
+    return f"""c{i + 1} AS MATERIALIZED (
+    SELECT k, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+        SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v
+        FROM (SELECT k, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {clustering.DIMENSION + 1}) AS t(j) GROUP BY k, j)
+        GROUP BY k
+    ) m USING (k)
+)"""
+
+
+_ROUNDS = ", ".join(f"{_nearest(i)}, {_moved(i)}" for i in range(clustering.ROUNDS))
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = {clustering.DIMENSION} AND len(list_filter(embedding, lambda x: isfinite(x))) = {clustering.DIMENSION}
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v
+    FROM kept QUALIFY k < {clustering.K}
+), {_ROUNDS}, {_nearest(clustering.ROUNDS)}
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance,
+    (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c{clustering.ROUNDS}.v, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} JOIN (SELECT k, v FROM c{clustering.ROUNDS}) AS c{clustering.ROUNDS} USING (k)
+"""
+
 _MARK = chat.ESCAPABLE
 _BLOCK = len(chat.START + chat.SEP + chat.END)
 
@@ -188,5 +228,6 @@ ORACLES = {
     "op4_neardup": OP4,
     "op7_decontamination": OP7,
     "op11_lexical_search": OP11,
+    "op12_centroid_clustering": OP12,
     "op13_chat_formatting": OP13,
 }

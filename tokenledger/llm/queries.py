@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm import (
     chat,
+    clustering,
     decontamination,
     language,
     lexical,
@@ -92,6 +93,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(clustering.fitted(table(spark, sf_dir, "embeddings")))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # A conversation whose texts look like marks.
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_license_scans,
         op11_lexical_search,
+        op12_centroid_clustering,
         op13_chat_formatting,
     )
 }
