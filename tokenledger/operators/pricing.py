@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import RATE_FIELDS
 from tokenledger.functions.times import instant
+from tokenledger.operators.intervals import CROWDED, cover_join, covers
 from tokenledger.operators.joins import lookup
 from tokenledger.sources.catalog import MULTIPLIER, RATE, Catalog, all_names, exact
 
@@ -34,8 +35,15 @@ def resolve_alias(facts: DataFrame, catalog: Catalog) -> DataFrame:
     return found.drop("catalog_name")
 
 
-def _covers(moment: Column, start: Column, end: Column) -> Column:
-    return (moment >= start) & (end.isNull() | (moment < end))
+def _covering(
+    facts: DataFrame, periods: DataFrame, catalog: Catalog, on: dict[str, str], start: str, end: str
+) -> DataFrame:
+    """Facts with the ``periods`` of their key that cover them. Of a catalog whose models have few periods, a fact
+    meets all of its model; else those of its cell of time."""
+    if catalog.most_periods > CROWDED:
+        return cover_join(facts, periods, on, "occurred_at_utc", start, end)
+    condition = covers(F.col("occurred_at_utc"), F.col(start), F.col(end))
+    return lookup(facts, periods, on, condition=condition, broadcast=catalog.is_small)
 
 
 def lookup_period(facts: DataFrame, catalog: Catalog) -> DataFrame:
@@ -49,13 +57,8 @@ def lookup_period(facts: DataFrame, catalog: Catalog) -> DataFrame:
         F.col("effective_from").alias("period_from"),
         F.col("effective_until").alias("period_until"),
     )
-    covering = _covers(F.col("occurred_at_utc"), F.col("period_from"), F.col("period_until"))
-    return lookup(
-        resolve_alias(facts, catalog),
-        periods,
-        {"resolved_key": "period_model"},
-        condition=covering,
-        broadcast=catalog.is_small,
+    return _covering(
+        resolve_alias(facts, catalog), periods, catalog, {"resolved_key": "period_model"}, "period_from", "period_until"
     ).drop("period_model", "period_from", "period_until")
 
 
@@ -127,14 +130,9 @@ def price_book(catalog: Catalog) -> DataFrame:
 def with_unit_prices(facts: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``usd_per_token``, ``credits_per_token`` and ``pricing_status``; no price is ``unpriced``,
     which is not the same as a price of zero."""
-    covering = _covers(F.col("occurred_at_utc"), F.col("book_from"), F.col("book_until"))
-    joined = lookup(
-        facts.withColumn("is_fast", F.col("mode") == "fast"),
-        price_book(catalog),
-        {"model_key": "book_name", "token_kind": "book_kind", "is_fast": "book_fast"},
-        condition=covering,
-        broadcast=catalog.is_small,
-    )
+    on = {"model_key": "book_name", "token_kind": "book_kind", "is_fast": "book_fast"}
+    fast = facts.withColumn("is_fast", F.col("mode") == "fast")
+    joined = _covering(fast, price_book(catalog), catalog, on, "book_from", "book_until")
     return joined.select(
         *facts.columns,
         "usd_per_token",

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import RATE_FIELDS
@@ -54,19 +54,29 @@ class Catalog:
     entries: DataFrame
 
     @cached_property
-    def is_small(self) -> bool:
-        """Whether every lookup table made from the entries is measured to fit a broadcast.
-
-        The largest has a row per name, period, kind and speed. Measured once per catalog, on the
-        entries, in parallel.
-        """
+    def _measures(self) -> Row:
+        """Measured once per catalog, on the entries, in parallel."""
         entry_rows = F.size(all_names()) * F.coalesce(F.size("rates"), F.lit(0)) * 2 * (len(RATE_FIELDS) + 1)
-        size = self.entries.agg(
+        return self.entries.agg(
             F.coalesce(F.sum(entry_rows), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(entry_rows * F.length("model_key")), F.lit(0)).alias("text"),
+            F.coalesce(F.max(F.size("rates")), F.lit(0)).alias("periods"),
         ).first()
+
+    @property
+    def is_small(self) -> bool:
+        """Whether every lookup table made from the entries is measured to fit a broadcast.
+
+        The largest has a row per name, period, kind and speed.
+        """
+        size = self._measures
         return size["rows"] <= BROADCAST_ROWS and size["rows"] * 100 + size["text"] <= BROADCAST_BYTES
 
+    @property
+    def most_periods(self) -> int:
+        """How many periods the model with the most has."""
+        return self._measures["periods"]
+
     @cached_property
     def is_single(self) -> bool:
         """Whether there is exactly one document. Prices of several would add up for the same fact."""
