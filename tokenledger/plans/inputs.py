@@ -311,6 +311,19 @@ def test_catalog(spark: SparkSession) -> Catalog:
     return catalogs.catalog_from_documents(docs)
 
 
+# --- one model with a period per part, and moments of orders ----------------------------------------
+
+# Three hours each, every seventh a single one, which leaves a gap; for both SQL dialects.
+PART_PERIOD_SQL = {
+    "begins": "CAST('1992-01-01 00:00:00' AS TIMESTAMP) + 3 * p_partkey * INTERVAL '1' HOUR",
+    "ends": (
+        "CAST('1992-01-01 00:00:00' AS TIMESTAMP) + (3 * p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 3 END) "
+        "* INTERVAL '1' HOUR"
+    ),
+}
+ORDER_MOMENT_SQL = "CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 86400) * INTERVAL '1' SECOND"
+
+
 # --- large catalogs with faults, from part and supplier ---------------------------------------------
 
 

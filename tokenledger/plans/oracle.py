@@ -315,6 +315,13 @@ def all_oracles() -> dict[str, str]:
     sql["scan_session_logs"] = f"""
 SELECT {_PROJECT} AS project, count(*) AS n_lines, CAST(sum(event_id) AS BIGINT) AS sum_event_id
 FROM events GROUP BY 1"""
+    sql["read_named_files"] = f"""
+SELECT {_PROJECT} AS project, count(*) AS n_lines, CAST(sum(event_id) AS BIGINT) AS sum_event_id
+FROM events WHERE user_id % 2 = 0 GROUP BY 1"""
+    sql["join_many_periods"] = f"""
+WITH periods AS (SELECT p_partkey, {inputs.PART_PERIOD_SQL['begins']} AS begins, {inputs.PART_PERIOD_SQL['ends']} AS ends FROM part),
+moments AS (SELECT o_orderkey, {inputs.ORDER_MOMENT_SQL} AS moment FROM orders)
+SELECT o_orderkey, p_partkey FROM moments LEFT JOIN periods ON moment >= begins AND moment < ends"""
     sql["log_line_order"] = f"""
 SELECT {_PROJECT} AS project, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_out_of_order
 FROM events GROUP BY 1"""

@@ -13,11 +13,12 @@ from tokenledger.functions.counts import text_value, token_count
 from tokenledger.functions.models import model_key, rollout_mode, session_mode
 from tokenledger.operators import facts as fact_ops
 from tokenledger.operators import integrity, pricing, quality, report, rollouts, session_events
+from tokenledger.operators.intervals import cover_join
 from tokenledger.operators.ordering import carry_along
 from tokenledger.plans import inputs
 from tokenledger.session import shared_dir, use_utc, written
 from tokenledger.sinks import export, report_files
-from tokenledger.sources import logs
+from tokenledger.sources import logs, manifest
 from tokenledger.sources.catalog import documents
 from tokenledger.sources.threads import select_threads
 
@@ -112,6 +113,20 @@ def prune_files_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.join(late, "project", "left").fillna(0, "n_late")
 
 
+@query
+def read_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the logs of every second project, which are named, beside as many names of no file."""
+    root = _written_logs(spark, sf_dir)
+    listing = logs.file_listing(spark, [root], pattern="*.txt", recursive=True)
+    there = listing.filter("regexp_extract(file, 'project=p(.)', 1) % 2 = 0").select(logs.plain_path(F.col("file")).alias("path"))
+    gone = there.select(F.concat("path", F.lit(".gone")).alias("path"))
+    files = manifest.named_files(there.unionByName(gone))
+    lines = manifest.read_named(files, lambda found: found.select("file", _event_of_line().alias("event")))
+    return lines.groupBy(_project(F.col("file"))).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("event").alias("sum_event_id")
+    )
+
+
 @query
 def skipped_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a listing names, but no line came from: every fifth listed name is of a file that is gone."""
@@ -476,6 +491,19 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.price_facts(inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark))
 
 
+@query
+def join_many_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the one of a model's very many periods that covers them."""
+    periods = inputs.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "'one' AS period_model", *[f"{sql} AS {name}" for name, sql in inputs.PART_PERIOD_SQL.items()]
+    )
+    orders = inputs.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"{inputs.ORDER_MOMENT_SQL} AS at", "CASE WHEN o_orderkey >= 0 THEN 'one' END AS model"
+    )
+    joined = cover_join(orders, periods, {"model": "period_model"}, "at", "begins", "ends")
+    return joined.select("o_orderkey", "p_partkey")
+
+
 @query
 def price_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _priced(spark, sf_dir).select(

@@ -14,17 +14,17 @@ from tokenledger.functions.times import required_window_bound
 from tokenledger.operators import facts as fact_ops
 from tokenledger.operators import quality, report, rollouts, session_events
 from tokenledger.operators.integrity import violations
-from tokenledger.operators.joins import lookup
 from tokenledger.session import use_utc, written
 from tokenledger.sinks import report_files
-from tokenledger.sources import logs
+from tokenledger.sources import logs, manifest
 from tokenledger.sources.catalog import Catalog, catalog_from_documents, documents
-from tokenledger.sources.threads import resolve_rollouts, select_threads
+from tokenledger.sources.threads import below, resolve_rollouts, select_threads, with_paths
 
 
 @dataclass(frozen=True)
 class Sources:
-    """Where usage is read from; a source left out contributes nothing."""
+    """Where usage is read from; a source left out contributes nothing. With ``rollout_roots`` logs elsewhere count
+    as absent."""
 
     session_root: str | None = None
     threads: DataFrame | None = None
@@ -84,20 +84,17 @@ def collect_usage(
         counters += [quality.malformed_events(events), quality.skipped_files(vanished)]
     if "codex" in agents and sources.threads is not None:
         home = sources.rollout_home or ""
-        roots = list(sources.rollout_roots) or [home]
-        files = logs.file_listing(spark, roots, recursive=True)
         threads = select_threads(sources.threads, include_archived=include_archived)
+        # Only files that a thread names are looked up and read, whatever else is in their folders.
+        named = with_paths(threads, home).select("path")
+        if sources.rollout_roots:
+            named = named.filter(below(F.col("path"), sources.rollout_roots))
+        files = manifest.named_files(named)
         resolved = written(resolve_rollouts(threads, files, home))
         by_file = written(rollouts.by_file(resolved, files))
-        lines = logs.rollout_lines(spark, roots, touched_since=touched_since)
-        # Only files that a thread names are parsed, whatever else is below the folders.
-        named = by_file.select(F.col("file").alias("named_file")).distinct()
-        lines = lookup(lines, named, {"file": "named_file"}, how="left_semi")
-        events = written(rollouts.read_events(lines))
-        listed = by_file.select("file").distinct().join(files, "file")
-        if touched_since is not None:
-            listed = listed.filter(logs.may_hold(F.col("modified_at"), touched_since))
-        vanished = logs.vanished_files(listed, logs.file_listing(spark, roots, recursive=True), events)
+        scanned = manifest.touched(files, touched_since)
+        events = manifest.read_named(scanned, rollouts.read_events)
+        vanished = manifest.gone(scanned, events)
         increments = written(rollouts.deltas(events, by_file))
         per_thread = rollouts.thread_counters(increments)
         parts.append(rollouts.delta_facts(increments))

@@ -7,6 +7,8 @@ needs a whole file in one place.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def _lines(text: DataFrame, touched_since: Column | None) -> DataFrame:
     )
 
 
+def lines_of_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of the files of these names, taken as they are; removed files are left out."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths]
+    lines = _lines(spark.read.option("ignoreMissingFiles", "true").text(literal), None)
+    # Names that came from a pattern have another number of slashes.
+    return lines.withColumn("file", F.regexp_replace("file", "^file:/+", "file:///"))
+
+
 def may_hold(modified_at: Column, since: Column) -> Column:
     """Whether a file can hold events from ``since`` on. Only ever prunes on the early side: a file
     written late may still hold early events."""

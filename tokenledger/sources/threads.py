@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +54,27 @@ def normal_path(path: Column) -> Column:
     return F.concat(prefix, F.lit("/"), F.array_join(kept, "/"))
 
 
+def below(path: Column, roots: Sequence[str]) -> Column:
+    """Whether a path without ``..`` is inside one of these folders."""
+    folders = [F.concat(normal_path(without_scheme(F.lit(root))), F.lit("/")) for root in roots]
+    return F.greatest(F.lit(False), *[F.startswith(path, folder) for folder in folders])
+
+
+def with_paths(threads: DataFrame, home: str) -> DataFrame:
+    """Threads that name a log, with its ``path``."""
+    path = normal_path(without_scheme(rollout_file(F.col("rollout_path"), home)))
+    return threads.withColumn("path", path).filter(F.col("path").isNotNull())
+
+
 def resolve_rollouts(threads: DataFrame, files: DataFrame, home: str) -> DataFrame:
     """Threads that name a log, with its ``path`` and whether it is among ``files``.
 
     Threads without a path are left out uncounted; threads whose file is absent stay, as skipped.
-    Several threads may share one file. A log outside every folder that ``files`` lists is absent too.
+    Several threads may share one file.
     """
-    named = threads.withColumn("path", normal_path(without_scheme(rollout_file(F.col("rollout_path"), home))))
     present = files.select(normal_path(plain_path(F.col("file"))).alias("path")).distinct()
     return (
-        named.filter(F.col("path").isNotNull())
+        with_paths(threads, home)
         .join(present.withColumn("present", F.lit(True)), "path", "left")
         .withColumn("present", F.coalesce("present", F.lit(False)))
     )
