@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -41,6 +44,80 @@ def test_forgetting_keeps_predictions(spark, monkeypatch):
     assert [model.predict(x) for x in texts] == before
 
 
+def brute(rows, text):
+    """(language, score) by the method's rules, from labelled (lang, text) rows; every row is in the sample."""
+    langs = sorted({lang for lang, _ in rows})
+    words = {lang: Counter(w for at, t in rows if at == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    units = {lang: {n: Counter() for n in range(1, 6)} for lang in langs}
+    for lang in langs:
+        for word, k in words[lang].items():
+            for n in range(1, 6):
+                around = word if n == 1 else f" {word} "
+                for i in range(len(around) - n + 1):
+                    units[lang][n][around[i : i + n]] += k
+    known = {word for lang in langs for word, k in words[lang].items() if k > 1}
+
+    def log(k, total, distinct):
+        return math.log((k + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    def score(word, lang):
+        if word in known:
+            k = words[lang][word]
+            return log(k if k > 1 else 0, sum(words[lang].values()), len(known))
+        for n in range(5, 0, -1):
+            around = word if n == 1 else f" {word} "
+            there = {gram for at in langs for gram in units[at][n]}
+            found = [gram for gram in (around[i : i + n] for i in range(len(around) - n + 1)) if gram in there]
+            if found:
+                return sum(log(units[lang][n][g], sum(units[lang][n].values()), len(there)) for g in found) / len(found)
+        return 0.0
+
+    asked = re.findall(r"[^\W\d_]+", text.lower())
+    n = {lang: sum(at == lang for at, _ in rows) for lang in langs}
+    totals = {lang: math.log(n[lang] / len(rows)) + sum(score(w, lang) for w in asked) for lang in langs}
+    best = max(langs, key=lambda lang: totals[lang])
+    return best, 1 / sum(math.exp(t - totals[best]) for t in totals.values())
+
+
+def test_equals_brute_force(spark):
+    rows = [(i, text(lang, i, 6), "s", lang) for i, lang in enumerate(list(SYLLABLES) * 12)] + [(99, "ka ka té schu", "s", "bb")]
+    model = language.fitted(corpora.documents(spark, *rows))
+    labelled = [(row[3], row[1]) for row in rows]
+    asked = [text(lang, 500 + i, 3) for lang in SYLLABLES for i in range(15)]
+    asked += ["kaki schuverung", "té x日 qqq", "kakaka", "ungung Schu", " ".join(text(lang, 7) for lang in SYLLABLES)]
+    for value, (lang, score) in zip(asked, model.predict_all(asked), strict=True):
+        want, chance = brute(labelled, value)
+        assert lang == want and score == pytest.approx(chance, abs=1e-9), value
+
+
+def test_each_language_keeps_its_share(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_WORDS", 12)
+    monkeypatch.setattr(language, "MAX_GRAMS", 30)
+    large = [(i, text("aa", i % 7, 40), "s", "aa") for i in range(60)]
+    small = [(100 + i, "ungung ungung schuver schuver", "s", "cc") for i in range(2)]
+    model = language.fitted(corpora.documents(spark, *large, *small))
+    assert {"ungung", "schuver"} <= set(model.rows) and len(model.rows) <= 24
+    assert model.predict("schuver")[0] == "cc"
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = [(i, text(lang, i), "s", lang) for i, lang in enumerate(["aa", "aa", "aa", "bb", "bb", "cc", "cc"])]
+    model = language.fitted(corpora.documents(spark, *rows, (9, "schu", "s", "dd")))
+    assert model.languages == ["aa", "bb"]
+    assert corpora.collected(language.predicted(corpora.documents(spark, *rows), model))[-1]["lang_pred"] in ("aa", "bb")
+
+
+def test_words_met_of_late_stay(spark, monkeypatch):
+    rows = [(i, text(lang, i), "s", lang) for i, lang in enumerate(list(SYLLABLES) * 10)]
+    model = language.fitted(corpora.documents(spark, *rows))
+    monkeypatch.setattr(language, "REMEMBERED", 8)
+    model.predict("xka")
+    for i in range(40):
+        model.predict(f"xka {'y' * (i + 1)}té")
+        assert model.used <= model.known + 1 + 8 + 2
+
+
 def test_held_out_is_the_checksum(spark):
     frame = spark.range(50).select("id", language.held_out(F.col("id")).alias("h"))
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in frame.collect())

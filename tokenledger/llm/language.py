@@ -5,8 +5,11 @@ the longest first: the first length of which the model knows some decides, by th
 of all words and the languages' shares add up; the score is the probability of the best language.
 
 The model is fitted to a bounded sample: about ``SAMPLE_ROWS`` labelled rows of each language, chosen by a hash
-of their text, and keeps the ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams that occur most. So it has a bounded
-size at any size of the corpus, and is broadcast. Prediction reads whole texts and nothing but texts.
+of their text. It keeps the ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams that occur most, and of each language as
+many of its own as its equal share of these numbers, so that large languages push out no small one. Of more than
+``MAX_LANGUAGES`` labels those with the most rows are learned (of equally many the first in order), the others count
+as unlabelled. So the model has a bounded size at any size of the corpus, and is broadcast. Prediction reads whole
+texts and nothing but texts; words that are no words of the model are looked into once for a whole batch.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from; of equally likely languages the first in order is named; rows without a language are
@@ -20,18 +23,18 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenledger.llm.texts import computed, mapped
+from tokenledger.llm.texts import computed_together, mapped
 from tokenledger.session import written
 
 SAMPLE_ROWS = 4000
 MAX_WORDS, MAX_GRAMS = 40_000, 60_000
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 LONGEST_GRAM = 5
 SMOOTHING = 0.5
-# Words without a row of their own that a worker remembers before it forgets them all.
+# Words without a row of their own that a worker remembers before it forgets those not met of late.
 REMEMBERED = 100_000
 
 UNKNOWN = "und"
@@ -61,9 +64,8 @@ def held_out(doc_id: Column) -> Column:
 
 def sampled(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, int]]:
     """About ``rows`` rows of each language, chosen by a hash of the text, and the rows of each language."""
-    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counted) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counted = most.collect()
     counts = {r["lang"]: r["n"] for r in sorted(counted, key=lambda r: r["lang"])}
     if not counts:
         return labelled, counts
@@ -127,46 +129,82 @@ class Model:
         self.matrix = np.zeros((self.known + 1 + 4096, len(self.languages)))
         if self.rows:
             self.matrix[1 : self.known + 1] = np.stack(list(self.rows.values()))
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The score of an unseen word."""
+        self.places = {gram: i for i, gram in enumerate(self.grams)}
+        self.gram_matrix = np.stack(list(self.grams.values())) if self.grams else np.zeros((0, len(self.languages)))
+        self.used, self.lately = self.known + 1, set()
+
+    def _forget(self) -> None:
+        """Frees the rows of words that were not met since this was last done, or of all if these are many."""
+        kept = self.lately if 2 * len(self.lately) <= REMEMBERED else set()
+        remembered = {run: self.matrix[self.index[run]].copy() for run in kept}
+        self._fresh()
+        for run, row in remembered.items():
+            self._remember(run, row)
+
+    def _remember(self, run: str, row: np.ndarray) -> None:
+        if self.used >= len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[self.used] = row
+        self.index[run] = self.used
+        self.used += 1
+
+    def backoff(self, word: str) -> list[int]:
+        """Places of the n-grams that score an unseen word."""
+        places = self.places
         for length in range(LONGEST_GRAM, 0, -1):
-            found = [self.grams[gram] for gram in grams(word, length) if gram in self.grams]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def _unseen(self, run: str) -> int:
-        word = letters(run)
-        if not word:
-            at = 0
-        elif word != run and word in self.index:
-            at = self.index[word]
-        else:
-            at = len(self.index) + 1
-            if at >= len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            self.matrix[at] = self.backoff(word)
-        self.index[run] = at
-        return at
+            if found := [places[gram] for gram in grams(word, length) if gram in places]:
+                return found
+        return []
+
+    def _learn(self, runs: list[str]) -> None:
+        """Rows for runs without one, all n-grams of all of them at once."""
+        unseen, flat, starts = [], [], []
+        for run in runs:
+            word = letters(run)
+            if not word:
+                self.index[run] = 0
+            elif word in self.index:
+                self.index[run] = self.index[word]
+            elif found := self.backoff(word):
+                unseen.append(run)
+                starts.append(len(flat))
+                flat += found
+            else:
+                self._remember(run, np.zeros(len(self.languages)))
+        if unseen:
+            sums = np.add.reduceat(self.gram_matrix[flat], starts, axis=0)
+            sizes = np.diff([*starts, len(flat)])
+            for run, row in zip(unseen, sums / sizes[:, None], strict=True):
+                self._remember(run, row)
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        cut = [words_of(text) for text in texts]
+        met = {run for runs in cut for run in runs}
+        if self.used > self.known + 1 + REMEMBERED:
+            self._forget()
+        self._learn(sorted(met.difference(self.index)))
+        self.lately |= met.difference(self.rows)
+        row = self.index.__getitem__
+        found = []
+        for runs in cut:
+            places = list(map(row, runs))
+            if not self.languages or not any(places):
+                found.append((UNKNOWN, 0.0))
+                continue
+            total = self.matrix[places].sum(axis=0) + self.prior
+            chances = np.exp(total - total.max())
+            found.append((self.languages[int(total.argmax())], float(1 / chances.sum())))
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self.index) > self.known + REMEMBERED:
-            self._fresh()
-        runs = words_of(text)
-        index = self.index
-        places = [index[run] if run in index else self._unseen(run) for run in runs]
-        if not self.languages or not any(places):
-            return UNKNOWN, 0.0
-        total = self.matrix[places].sum(axis=0) + self.prior
-        chances = np.exp(total - total.max())
-        return self.languages[int(total.argmax())], float(1 / chances.sum())
+        return self.predict_all([text])[0]
 
 
 def fitted(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model of rows with text and lang. What reaches the driver is bounded by the model's size."""
     labelled = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample, counts = sampled(labelled, rows)
+    # Labels beyond the bound have no limit, so no row of theirs is in the sample.
     columns = {"lang": F.col("lang"), "text": F.col("text")}
     words = mapped(sample, columns, _count_words, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -176,7 +214,11 @@ def fitted(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     def most(frame: DataFrame, by: list[str], limit: int) -> DataFrame:
         top = frame.groupBy(*by).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), *by).limit(limit)
-        return frame.join(F.broadcast(top.select(*by)), by, "left_semi")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), *by))
+        own = frame.withColumn("rank", rank).filter(F.col("rank") <= limit // max(1, len(counts)))
+        # At most twice the limit.
+        kept = top.select(*by).union(own.select(*by)).distinct()
+        return frame.join(F.broadcast(kept), by, "left_semi")
 
     # A word seen once is no better known than its n-grams.
     word_rows = most(words, ["word"], MAX_WORDS).filter("n > 1").select("lang", "word", "n").collect()
@@ -190,9 +232,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def over(text: str | None) -> dict:
-        lang, score = sent.value.predict(text)
-        return {"lang_pred": lang, "score": score}
+    def over(texts: list[str | None]) -> list[dict]:
+        return [{"lang_pred": lang, "score": score} for lang, score in sent.value.predict_all(texts)]
 
-    found = docs.select("doc_id", computed(over, "lang_pred: string, score: double", F.col("text")).alias("p"))
+    found = docs.select("doc_id", computed_together(over, "lang_pred: string, score: double", F.col("text")).alias("p"))
     return found.select("doc_id", "p.*")

@@ -77,6 +77,19 @@ def computed(function: Callable[..., dict], schema: str, *columns: Column) -> Co
     return over(*columns)
 
 
+def computed_together(function: Callable[[list], list[dict]], schema: str, column: Column) -> Column:
+    """Like :func:`computed`, for a function that takes the values of a whole batch at once."""
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    @F.arrow_udf(kind)
+    def over(values: pa.Array) -> pa.Array:
+        return pa.array(function(values.to_pylist()), pa.struct(list(arrow)))
+
+    small_batches(SparkSession.active())
+    return over(column)
+
+
 def utf8(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
