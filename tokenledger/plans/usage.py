@@ -14,9 +14,10 @@ from tokenledger.functions.times import required_window_bound
 from tokenledger.operators import facts as fact_ops
 from tokenledger.operators import quality, report, rollouts, session_events
 from tokenledger.operators.integrity import violations
+from tokenledger.operators.joins import lookup
 from tokenledger.session import use_utc, written
 from tokenledger.sinks import report_files
-from tokenledger.sources import logs, manifest
+from tokenledger.sources import logs, manifest, session_index
 from tokenledger.sources.catalog import Catalog, catalog_from_documents, documents
 from tokenledger.sources.threads import below, resolve_rollouts, select_threads, with_paths
 
@@ -24,12 +25,14 @@ from tokenledger.sources.threads import below, resolve_rollouts, select_threads,
 @dataclass(frozen=True)
 class Sources:
     """Where usage is read from; a source left out contributes nothing. With ``rollout_roots`` logs elsewhere count
-    as absent."""
+    as absent. ``session_index`` is where :func:`~tokenledger.sources.session_index.update_index` keeps its index, which
+    spares digests reading logs without the requested sessions."""
 
     session_root: str | None = None
     threads: DataFrame | None = None
     rollout_home: str | None = None
     rollout_roots: Sequence[str] = ()
+    session_index: str | None = None
 
 
 @dataclass(frozen=True)
@@ -66,9 +69,13 @@ def collect_usage(
     agents: Sequence[str] = AGENTS,
     include_archived: bool = True,
     touched_since: Column | None = None,
+    session_ids: DataFrame | None = None,
 ) -> Collected:
     """Facts of all sources with the counters of everything scanned, files not touched since then left out.
 
+    With ``session_ids`` and an index of the session logs, only logs that may hold these sessions are scanned, and
+    only these threads are looked up.
+
     Parsed lines and increments are read by several branches, so they are written once to the shared
     folder: the logs themselves, by far the largest data, are scanned a single time.
     """
@@ -76,15 +83,24 @@ def collect_usage(
     parts, counters, reconciliation = [], [], None
     if "claude" in agents and sources.session_root:
         paths = [logs.session_glob(sources.session_root)]
-        listed = written(logs.file_listing(spark, paths, touched_since=touched_since))
-        lines = logs.session_lines(spark, sources.session_root, touched_since=touched_since)
-        events = written(session_events.read_events(lines))
-        vanished = logs.vanished_files(listed, logs.file_listing(spark, paths), events)
+        listed = logs.file_listing(spark, paths, touched_since=touched_since)
+        if session_ids is not None and sources.session_index:
+            index = session_index.read_index(spark, sources.session_index)
+            files = written(manifest.of_listing(session_index.may_hold(listed, index, session_ids)))
+            events = manifest.read_named(files, session_events.read_events)
+            vanished = manifest.gone(files, events)
+        else:
+            listed = written(listed)
+            lines = logs.session_lines(spark, sources.session_root, touched_since=touched_since)
+            events = written(session_events.read_events(lines))
+            vanished = logs.vanished_files(listed, logs.file_listing(spark, paths), events)
         parts.append(session_events.usage_facts(session_events.fill_session_id(events)))
         counters += [quality.malformed_events(events), quality.skipped_files(vanished)]
     if "codex" in agents and sources.threads is not None:
         home = sources.rollout_home or ""
         threads = select_threads(sources.threads, include_archived=include_archived)
+        if session_ids is not None and sources.session_index:
+            threads = lookup(threads, session_ids.select(F.col("session_id").alias("wanted_id")).distinct(), {"id": "wanted_id"}, how="left_semi")
         # Only files that a thread names are looked up and read, whatever else is in their folders.
         named = with_paths(threads, home).select("path")
         if sources.rollout_roots:
@@ -170,11 +186,19 @@ def usage_document(
     )
 
 
-def _collected_in_window(spark: SparkSession, sources: Sources, *, prune_files: bool = False, **options) -> Collected:
+def _collected_in_window(
+    spark: SparkSession,
+    sources: Sources,
+    *,
+    prune_files: bool = False,
+    session_ids: DataFrame | None = None,
+    **options,
+) -> Collected:
     since, until, zone = options.get("since"), options.get("until"), options.get("timezone", "UTC")
     check_window(spark, since, until, zone)
     touched = required_window_bound(since, zone) if prune_files else None
-    return collect_usage(spark, sources, agents=options.get("agents", AGENTS), touched_since=touched)
+    agents = options.get("agents", AGENTS)
+    return collect_usage(spark, sources, agents=agents, touched_since=touched, session_ids=session_ids)
 
 
 def export_facts(spark: SparkSession, sources: Sources, *, prune_files: bool = False, **options) -> DataFrame:
@@ -194,10 +218,10 @@ def measure(
     """Digest of the requested sessions, counters, and counts of source qualities.
 
     Unpriced tokens and source qualities are those of the requested sessions, the other counters
-    describe everything that was read.
+    describe everything that was read: with ``sources.session_index`` only what may hold these sessions.
     """
     catalog.require_single()
-    collected = _collected_in_window(spark, sources, prune_files=prune_files, **options)
+    collected = _collected_in_window(spark, sources, prune_files=prune_files, session_ids=session_ids, **options)
     facts = selected_facts(collected, **options)
     digest = written(report.measure_sessions(facts, catalog, session_ids))
     unpriced = quality.unpriced_tokens(digest.filter("scope = 'total'"))

@@ -67,9 +67,7 @@ def _lines(text: DataFrame, touched_since: Column | None) -> DataFrame:
 def lines_of_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of the files of these names, taken as they are; removed files are left out."""
     literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths]
-    lines = _lines(spark.read.option("ignoreMissingFiles", "true").text(literal), None)
-    # Names that came from a pattern have another number of slashes.
-    return lines.withColumn("file", F.regexp_replace("file", "^file:/+", "file:///"))
+    return _lines(spark.read.option("ignoreMissingFiles", "true").text(literal), None)
 
 
 def may_hold(modified_at: Column, since: Column) -> Column:

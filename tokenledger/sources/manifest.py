@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.session import shared_dir
-from tokenledger.sources.logs import LINE_SCHEMA, lines_of_files, may_hold
+from tokenledger.sources.logs import LINE_SCHEMA, lines_of_files, may_hold, plain_path
 
 MANIFEST_SCHEMA = "path string, file string, modified_at timestamp, size bigint"
 # Names that are looked up, or files that are read, by one job.
@@ -46,7 +46,8 @@ def _status(spark: SparkSession, path: str) -> tuple | None:
     if not status.isFile():
         return None
     modified = datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)
-    file = re.sub("^file:/+", "file:///", status.getPath().toUri().toString())
+    # Scans name local files with one slash.
+    file = re.sub("^file:/+", "file:/", status.getPath().toUri().toString())
     return path, file, modified, status.getLen()
 
 
@@ -78,6 +79,11 @@ def named_files(paths: DataFrame) -> DataFrame:
     return _appended(parts(), spark.createDataFrame([], MANIFEST_SCHEMA))
 
 
+def of_listing(listing: DataFrame) -> DataFrame:
+    """The manifest of files that were listed."""
+    return listing.select(plain_path(F.col("file")).alias("path"), "file", "modified_at", "size")
+
+
 def touched(manifest: DataFrame, since: Column | None) -> DataFrame:
     """Files that may hold events from ``since`` on."""
     return manifest if since is None else manifest.filter(may_hold(F.col("modified_at"), since))
