@@ -21,14 +21,16 @@ def carry_along(
     latest: dict[str, Column] | None = None,
     earliest: dict[str, Column] | None = None,
     attach: DataFrame | None = None,
+    carrying: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Add, for every row, another row strictly before it within ``keys``, by (block, pos).
 
     ``latest`` and ``earliest`` map a new column to a condition: it becomes the last (first) earlier row
-    that meets it, as a struct, or null. Rows without a key or block drop out. ``attach`` is a frame to inner-join on ``keys``; it meets the
+    that meets it, as a struct, or null. ``carrying`` names the columns these structs have, all if it does not name the
+    new column: what is not carried is not kept in windows and sums either. Rows without a key or block drop out. ``attach`` is a frame to inner-join on ``keys``; it meets the
     frame of blocks, not the rows.
     """
-    latest, earliest = latest or {}, earliest or {}
+    latest, earliest, carrying = latest or {}, earliest or {}, carrying or {}
     parts = [*keys, "block"]
     marks = {f"_is_{name}": condition for name, condition in {**latest, **earliest}.items()}
     # Whole rows are shuffled once and read by both branches below: packed in a struct, neither branch
@@ -41,17 +43,21 @@ def carry_along(
     def met(name: str, value: Column) -> Column:
         return F.when(F.col(f"row._is_{name}"), value)
 
-    row = F.col("row")
+    def value(name: str) -> Column:
+        if name not in carrying:
+            return F.col("row")
+        return F.struct(*[F.col(f"row.{c}").alias(c) for c in carrying[name]])
+
     before = Window.partitionBy(*parts).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     inside = shared.select(
         *parts,
         "row",
-        *[F.last(met(name, row), True).over(before).alias(f"_in_{name}") for name in latest],
-        *[F.first(met(name, row), True).over(before).alias(f"_in_{name}") for name in earliest],
+        *[F.last(met(name, value(name)), True).over(before).alias(f"_in_{name}") for name in latest],
+        *[F.first(met(name, value(name)), True).over(before).alias(f"_in_{name}") for name in earliest],
     )
     blocks = shared.groupBy(*parts).agg(
-        *[F.max_by(row, met(name, F.col("pos"))).alias(name) for name in latest],
-        *[F.min_by(row, met(name, F.col("pos"))).alias(name) for name in earliest],
+        *[F.max_by(value(name), met(name, F.col("pos"))).alias(name) for name in latest],
+        *[F.min_by(value(name), met(name, F.col("pos"))).alias(name) for name in earliest],
     )
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(

@@ -76,6 +76,7 @@ def deltas(events: DataFrame, threads: DataFrame | None = None) -> DataFrame:
         latest={"previous": F.col("usable")},
         earliest={"started": F.col("started_mode").isNotNull()},
         attach=threads,
+        carrying={"previous": list(_COUNTERS), "started": ["started_mode"]},
     )
     kept = [c for c in threads.columns if c != "file"] if threads is not None else []
 

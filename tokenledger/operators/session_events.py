@@ -90,7 +90,9 @@ def fill_session_id(events: DataFrame) -> DataFrame:
     """Billable events with ``session_id``: the line's own, else the first one seen in the file so far,
     on a line of any type."""
     relevant = events.filter(F.col("has_usage") | F.col("own_session").isNotNull())
-    filled = carry_along(relevant, ["file"], earliest={"first": F.col("own_session").isNotNull()})
+    filled = carry_along(
+        relevant, ["file"], earliest={"first": F.col("own_session").isNotNull()}, carrying={"first": ["own_session"]}
+    )
     return (
         filled.filter("billable")
         .withColumn("session_id", F.coalesce("own_session", "first.own_session"))

@@ -154,9 +154,14 @@ def _in_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table, which is a single block, over all cores: what is made of them is far more work."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session logs, one file per user: corrupt and blank lines, bad times, ids that come and go."""
-    events = _in_lines(table(spark, sf_dir, "events")).selectExpr("*", *columns(SESSION_FIELDS))
+    events = _in_lines(_spread(table(spark, sf_dir, "events"))).selectExpr("*", *columns(SESSION_FIELDS))
     text = F.expr(_SESSION_JSON)
     line = F.when(F.col("corrupt"), F.substring(text, 1, 40)).when(F.col("blank_line"), "  ").otherwise(text)
     return events.select(
@@ -232,7 +237,7 @@ THREAD_FIELDS = {
 
 def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thread per customer, without its own token total. Most have no events, so no log either."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", *columns(THREAD_FIELDS))
+    return _spread(table(spark, sf_dir, "customer")).selectExpr("c_custkey", *columns(THREAD_FIELDS))
 
 
 # A thread's own total: right, two per cent more, or none.

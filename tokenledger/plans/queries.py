@@ -90,7 +90,7 @@ def log_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files were written in event order: lines read back out of that order are counted."""
     lines = logs.session_lines(spark, _written_logs(spark, sf_dir), pattern="*.txt")
     numbered = lines.withColumn("event", _event_of_line()).drop("line")
-    carried = carry_along(numbered, ["file"], latest={"previous": F.lit(True)})
+    carried = carry_along(numbered, ["file"], latest={"previous": F.lit(True)}, carrying={"previous": ["event"]})
     return carried.groupBy(_project(F.col("file"))).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("previous.event") > F.col("event")).alias("n_out_of_order"),

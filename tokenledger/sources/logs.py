@@ -8,6 +8,7 @@ needs a whole file in one place.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,23 +154,24 @@ def parse_lines(lines: DataFrame, event_type: str) -> DataFrame:
     """Each line with its ``event``; blank lines are neither events nor malformed.
 
     Only the fields of ``event_type`` are materialised, whatever else a line holds is skipped while
-    scanning it. The line is read inside an envelope whose last field is only reached when the line
-    is complete JSON, and it has to be the only element of an array: text that closes the envelope or adds
-    members to it is no array of one.
+    scanning it, and it is scanned once: it is read as the first of two elements, and the second, whose type no
+    line can know, is only found there when the line is one complete JSON value and nothing else.
 
     Adds ``blank``, ``malformed`` (not a JSON object) and ``ill_typed`` (an object, but some field
     of ``event_type`` is of another JSON type; that field is null).
     """
+    last = uuid.uuid4().hex
     envelope = F.from_json(
-        F.concat(F.lit('{"event":'), F.col("line"), F.lit(',"complete":true}')),
-        f"event {event_type}, complete boolean, bad string",
+        F.concat(F.lit('{"lines":['), F.col("line"), F.lit(f',{{"type":"{last}"}}]}}')),
+        f"lines array<{event_type}>, bad string",
         {"columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false"},
     )
     # Inlined as an array of one: a filter on what was parsed stays above, and never parses again.
     parsed = lines.select("*", F.inline(F.array(envelope)))
+    parsed = parsed.select(*lines.columns, "bad", F.size("lines").alias("n"), F.get("lines", F.lit(1))["type"].alias("last"), F.get("lines", F.lit(0)).alias("event"))
     blank = F.col("line").rlike(rf"^[{SPACES}]*$")
-    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("line"), F.lit("]"))) == 1, F.lit(False))
-    is_object = F.coalesce(F.col("complete"), F.lit(False)) & F.col("event").isNotNull() & alone
+    whole = F.coalesce((F.col("n") == 2) & (F.col("last") == last), F.lit(False))
+    is_object = whole & F.col("event").isNotNull()
     return parsed.select(
         *lines.columns,
         blank.alias("blank"),
