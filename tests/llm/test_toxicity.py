@@ -1,6 +1,10 @@
+import math
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import corpora
 from tokenledger.llm import toxicity
@@ -55,3 +59,48 @@ def test_awkward_rows(spark):
     assert not any(r["toxic"] for r in toxicity.scored(docs, toxicity.fitted(docs, labels.limit(0))).collect())
     empty = corpora.empty(spark)
     assert toxicity.scored(empty, toxicity.fitted(empty, labels)).count() == 0
+
+
+def test_severity_equals_brute_force(spark):
+    docs, labels = corpus(200)
+    model = toxicity.fitted(corpora.documents(spark, *docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weights, cuts = dict(zip(model.index, model.ordinal.weights, strict=True)), model.ordinal.thresholds
+    for _, text in docs:
+        words = text.lower().encode().split()
+        words += [w[: toxicity.BEGINNING] + b"*" for w in words if len(w) > toxicity.BEGINNING]
+        score = sum(weights[w] * math.log(1 + words.count(w)) for w in set(words) if w in weights)
+        at_most = [1 / (1 + math.exp(-(cut - score))) for cut in cuts] + [1.0]
+        chances = [b - a for a, b in zip([0.0, *at_most], at_most, strict=False)]
+        got = model.severity(text.encode())
+        assert got["severity"] == pytest.approx(sum(k * p for k, p in enumerate(chances)), abs=1e-9)
+        assert got["toxic"] == (1 - chances[0] > model.cut)
+        assert got["grade"] == (1 + max(range(3), key=lambda k: chances[k + 1]) if got["toxic"] else 0)
+
+
+def test_the_cut_is_the_best_one():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        chances, toxic = np.round(rng.random(40), 1), rng.random(40) < 0.3
+        toxic[0] = True
+
+        def f1(cut, chances=chances, toxic=toxic):
+            said = chances > cut
+            return 2 * (said & toxic).sum() / (said.sum() + toxic.sum())
+
+        assert f1(toxicity.best_cut(chances, toxic)) == max(f1(c) for c in np.arange(-0.05, 1.0, 0.1))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_held_out_labels(spark):
+    """Fitted to three quarters of the labels, toxic documents of the others are told apart, in all grades."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    learned = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(4)) != 0
+    got = toxicity.scored(docs, toxicity.fitted(docs, labels.filter(learned)))
+    asked = labels.filter(~learned & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    rows = got.join(asked, "doc_id").collect()
+    caught = sum(r["toxic"] and r["label"] == 1 for r in rows)
+    recall, precision = caught / sum(r["label"] == 1 for r in rows), caught / sum(r["toxic"] for r in rows)
+    # 0.895 each when this was written, of 344 toxic documents to learn from.
+    assert recall >= 0.87 and precision >= 0.87, (recall, precision)
+    assert {r["grade"] for r in rows} == {0, 1, 2, 3}
