@@ -101,6 +101,20 @@ def test_sketches_lose_no_links(percent):
             assert neardup.passing(one, two, *sums, percent / 100).all(), (similarity, union)
 
 
+@pytest.mark.parametrize("union", [40, 160, 640, 2560, 5120])
+def test_samples_decide_at_every_size(union):
+    """The odd sketch of samples alone drops what is clearly below the threshold and keeps what is at it."""
+    rng = np.random.default_rng(union)
+    for similarity, kept in ((0.65, 0.0), (0.8, 1.0)):
+        got = []
+        for x, y in pairs_of_sets(rng, union, similarity, 150):
+            (a, k), (b, m) = neardup.odd_sketch(x), neardup.odd_sketch(y)
+            differ = int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+            reached = len(set((x >> np.uint64(54)).tolist()) | set((y >> np.uint64(54)).tolist()))
+            got.append(neardup.could_link(*(np.array([v]) for v in (differ, k + m, len(x) + len(y))), 0.8, np.array([reached]))[0])
+        assert np.mean(got) == kept
+
+
 def short_pairs(percent, n, per_union=(10, 21, 45)):
     """Texts in pairs just at the threshold or over it, in a few distinct shingles."""
     docs = []
