@@ -1,0 +1,109 @@
+"""Outputs that are there as a whole or not at all."""
+
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+from tests.helpers import catalog, facts, rows
+from tests.test_usage import MODELS
+
+from tokenledger.fixed_values import FACT_COLUMNS, REPORT_COLUMNS
+from tokenledger.operators import quality, report
+from tokenledger.sinks import export, publication, report_files
+
+
+def lines(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string").repartition(3)
+
+
+def test_parts_come_back(spark, tmp_path):
+    path = str(tmp_path / "out")
+    publication.publish(spark, path, {"a": lines(spark, "1", "2", "2"), "none": lines(spark)}, lines(spark, "h"))
+    header, parts = publication.read_published(spark, path)
+    assert header == "h" and rows(parts["a"], "value") == [("1",), ("2",), ("2",)] and parts["none"].count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception, match="already there"):
+        publication.publish(spark, path, {"a": lines(spark, "3")}, lines(spark, "h"))
+    assert publication.read_published(spark, path)[1]["a"].count() == 3
+
+
+@pytest.mark.parametrize("dies_in", ["first", "second", "header"])
+def test_a_job_that_dies_leaves_no_readable_output(spark, tmp_path, dies_in):
+    path = str(tmp_path / "out")
+    broken = lines(spark, "x").select(F.raise_error(F.lit("disk is gone")).cast("string").alias("value"))
+    frames = {name: broken if name == dies_in else lines(spark, "1") for name in ("first", "second", "header")}
+    header = frames.pop("header")
+    with pytest.raises(Exception, match="disk is gone"):
+        publication.publish(spark, path, frames, header)
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(Exception, match="no finished output"):
+        publication.read_published(spark, path)
+    # It can be done again.
+    publication.publish(spark, path, {"first": lines(spark, "1")}, lines(spark, "h"))
+    assert publication.read_published(spark, path)[0] == "h"
+
+
+def test_parts_that_are_not_what_was_written(spark, tmp_path):
+    path = tmp_path / "out"
+    publication.publish(spark, str(path), {"a": lines(spark, "1", "2", "3")}, lines(spark, "h"))
+    part = next(p for p in (path / "a").glob("part-*") if p.stat().st_size)
+    whole = part.read_text()
+    for damaged in ("", whole + "4\n", whole.replace("1", "9").replace("2", "8").replace("3", "7")):
+        part.write_text(damaged)
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(Exception, match="not what was written"):
+            publication.read_published(spark, str(path))
+    part.write_text(whole)
+    assert publication.read_published(spark, str(path))[0] == "h"
+
+
+def made_report(spark, path):
+    prices = catalog(spark, *MODELS)
+    asked = facts(
+        spark,
+        ("2026-07-01T00:00:00", "codex", "b", "gpt-y", "output", 10, "normal"),
+        ("2026-07-01T00:00:00", "claude", "a", "x", "output", 5, "normal"),
+        ("2026-06-01T00:00:00", "claude", "a", "unheard-of", "output", 7, "normal"),
+    )
+    return prices, asked, str(path)
+
+
+def test_a_report_as_one_object(spark, tmp_path):
+    prices, asked, path = made_report(spark, tmp_path / "report")
+    shown = report.usage_report(asked, prices)
+    counters = quality.data_quality(quality.unpriced_tokens(shown))
+    envelope = report_files.report_envelope(shown, headers=prices.headers, data_quality=counters, group_by=["month"], timezone="UTC")
+    report_files.write_envelope(envelope, path)
+    document = report_files.read_document(spark, path)
+    assert list(document)[-1] == "rows" and document["group_by"] == ["month"]
+    assert [(r["month"], r["agent"], r["tokens"]) for r in document["rows"]] == [
+        ("2026-06", "claude", 7), ("2026-07", "claude", 5), ("2026-07", "codex", 10),
+    ]
+    assert all(tuple(r) == REPORT_COLUMNS for r in document["rows"])
+    with pytest.raises(Exception, match="more than 2 rows"):
+        report_files.read_document(spark, path, most_rows=2)
+
+
+def test_a_digest_as_one_object(spark, tmp_path):
+    prices, asked, path = made_report(spark, tmp_path / "digest")
+    ids = spark.createDataFrame([("b",), ("nobody",), ("a",)], "session_id string")
+    digest = report.measure_sessions(asked, prices, ids)
+    envelope = report_files.digest_envelope(
+        digest, headers=prices.headers, data_quality=quality.data_quality(quality.unpriced_tokens(digest.filter("scope = 'total'"))),
+        source_quality=report.source_quality_counts(asked, ids), agents=["codex", "claude"], timezone="UTC",
+    )
+    report_files.write_envelope(envelope, path)
+    document = report_files.read_document(spark, path)
+    assert document["session_ids"] == ["a", "b", "nobody"] == list(document["sessions"])
+    assert document["sessions"]["nobody"] == {**document["sessions"]["nobody"], "matched": False, "rows": []}
+    assert document["sessions"]["a"]["totals"]["tokens"] == 12 and document["total"]["totals"]["tokens"] == 22
+
+
+def test_exports_are_published(spark, tmp_path):
+    _, asked, path = made_report(spark, tmp_path / "facts")
+    export.publish_export(asked, path)
+    header, parts = publication.read_published(spark, path)
+    assert json.loads(header)["columns"] == list(FACT_COLUMNS)
+    assert sorted(json.loads(r.value)["tokens"] for r in parts["facts"].collect()) == [5, 7, 10]
+    assert not list(Path(tmp_path).glob("*.staged-*"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.fixed_values import FACT_COLUMNS
 from tokenledger.functions.times import iso_utc
+from tokenledger.sinks.publication import publish
 
 
 def export_rows(facts: DataFrame) -> DataFrame:
@@ -22,5 +23,12 @@ def export_lines(facts: DataFrame) -> DataFrame:
     )
 
 
+def publish_export(facts: DataFrame, path: str) -> None:
+    """The export with a manifest and a header naming its columns, all of it or nothing."""
+    spark = facts.sparkSession
+    header = spark.range(1).select(F.to_json(F.struct(F.array(*map(F.lit, FACT_COLUMNS)).alias("columns"))).alias("value"))
+    publish(spark, path, {"facts": export_lines(facts)}, header)
+
+
 def write_export(facts: DataFrame, path: str) -> None:
     export_lines(facts).write.text(path)

@@ -6,9 +6,12 @@ Rows go to part files, one per task, however many there are. A report or digest
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,13 @@ from tokenledger.fixed_values import (
 from tokenledger.functions.cells import cost_cell, credits_cell, text_cell
 from tokenledger.functions.times import iso_utc
 from tokenledger.operators.report import MEASURES, as_output
+from tokenledger.sinks.publication import publish, read_published
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+# What a report is ordered by.
+REPORT_KEYS = ("month", "agent", "model", "token_kind")
+# Rows up to which a report is read as one object.
+DOCUMENT_ROWS = 10_000
 _DIGEST_KEYS = ("agent", "model", "token_kind")
 
 
@@ -65,10 +73,30 @@ class Envelope:
 
 
 def write_envelope(envelope: Envelope, path: str) -> None:
-    """``<path>/header`` and one folder per part, JSON lines."""
-    envelope.header.write.text(f"{path}/header")
-    for name, rows in envelope.parts.items():
-        rows.write.options(**_KEEP_NULLS).json(f"{path}/{name}")
+    """``<path>/header`` and one folder per part, JSON lines, all of them or none; see
+    :mod:`~tokenledger.sinks.publication`."""
+    parts = {
+        name: rows.select(F.to_json(F.struct(*rows.columns), _KEEP_NULLS).alias("value"))
+        for name, rows in envelope.parts.items()
+    }
+    publish(envelope.header.sparkSession, path, parts, envelope.header)
+
+
+def read_document(spark: SparkSession, path: str, most_rows: int = DOCUMENT_ROWS) -> dict[str, Any]:
+    """A written report or digest as one object, for results of at most ``most_rows`` rows: the header's fields, and
+    ``rows``, or ``sessions`` by their id and ``total``."""
+    header, parts = read_published(spark, path)
+    read = {}
+    for name, lines in parts.items():
+        found = lines.limit(most_rows + 1).collect()
+        if len(found) > most_rows:
+            raise PySparkException(f"{path} has more than {most_rows} {name}; read it as a table")
+        read[name] = [json.loads(row["value"]) for row in found]
+    document = json.loads(header)
+    if "rows" in read:
+        return {**document, "rows": sorted(read["rows"], key=lambda row: [row[key] or "" for key in REPORT_KEYS])}
+    sessions = {one.pop("session_id"): one for one in sorted(read["sessions"], key=lambda one: one["session_id"])}
+    return {**document, "session_ids": list(sessions), "sessions": sessions, "total": read["total"][0]}
 
 
 def _side_by_side(*single_rows: DataFrame) -> DataFrame:
