@@ -66,3 +66,38 @@ def test_awkward_rows(spark):
     assert sharding.sharded(corpora.empty(spark)).count() == 0
     same = [(1, "a")] * 40
     check(sharding.sharded(corpora.documents(spark, *same)).collect(), same, 8, 80)
+
+
+def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
+    """A few rows hold most bytes: they are not sorted together, and all laws hold."""
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(sharding, "TASK_BYTES", 40_000)
+    rng = random.Random(8)
+    docs = [(i, corpora.prose(i, 2000 if i % 20 == 0 else rng.randrange(5))) for i in range(300)]
+    docs += [(1000 + i, "y" * 15_000) for i in range(20)]
+    out = sharding.sharded(corpora.documents(spark, *docs))
+    check(out.collect(), docs, 8, 40_000)
+    assert out.rdd.getNumPartitions() >= sum(size(text) for _, text in docs) // 40_000
+
+
+def test_cuts_are_those_of_exact_counts(spark):
+    """Each splitter is as near to its target as any place of the order within the tolerance allows."""
+    rng = random.Random(9)
+    docs = [(i, corpora.prose(i, rng.choice([1, 30, 300]))) for i in range(500)] + [(900 + i, "same " * 200) for i in range(60)]
+    frame = corpora.documents(spark, *docs).select(
+        sharding.text_key(F.col("text")).alias("text_key"), sharding.id_key(F.col("doc_id")).alias("id_key"),
+        sharding.size_of(F.col("text")).alias("size"),
+    )
+    cuts = sharding.splitters(frame, 8, 0.0)
+    rows = sorted(tuple(r) for r in frame.collect())
+    total = sum(r[2] for r in rows)
+    for i, cut in enumerate(cuts, 1):
+        target = total * i // 8
+        below = sum(r[2] for r in rows if r[:2] < cut)
+        # No place between two rows is nearer, but for texts of several rows, which are cut only where they hold it.
+        edges, ends = [0], defaultdict(int)
+        for text, _, n in rows:
+            ends[text] += n
+        for text in sorted(ends):
+            edges.append(edges[-1] + ends[text])
+        assert abs(below - target) <= min(abs(edge - target) for edge in edges)

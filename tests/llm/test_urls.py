@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -65,3 +66,50 @@ def test_only_rules_with_a_token_of_the_url_run(spark):
 def test_rules_without_tokens_are_refused(spark):
     with pytest.raises(ValueError, match="literal"):
         urls.rule_frame(spark, [urls.Rule("any", ".*", "block", 1, [])])
+
+
+def test_rules_of_one_name_are_refused(spark):
+    rules = [urls.prefix_rule("allow", "org", "/"), urls.prefix_rule("block", "org", "/")]
+    with pytest.raises(ValueError, match="one name"):
+        urls.rule_frame(spark, rules)
+
+
+def test_ties_end_with_the_verdict(spark):
+    """Rules of a frame made elsewhere may share a name; the same one decides in any order."""
+    rows = [("x.org/", r"^x\.org/", verdict, 1, ["x", "org"]) for verdict in ("allow", "block")]
+    for order in (rows, rows[::-1]):
+        rules = spark.createDataFrame(order, "name string, pattern string, rule_verdict string, priority int, tokens array<string>")
+        assert [r["verdict"] for r in urls.judged(pages(spark, ["http://x.org/a"]), rules).collect()] == ["block"]
+
+
+def test_thousands_of_rules_and_long_urls(spark):
+    """Prefixes, wildcards, ports and single pages, against all of them run on every url."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    hosts = [f"{rng.choice(words)}.{rng.choice(words)}.{rng.choice(['org', 'com', 'net'])}" for _ in range(300)]
+    values = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', ':8080'])}/" + "/".join(rng.choices(words, k=rng.randrange(4))) for _ in range(250)]
+    values += [f"https://{hosts[0]}/" + "/".join(rng.choices(words, k=20_000)), f"https://{hosts[1]}/a?" + "q" * 100_000]
+    rules = {}
+    for i in range(3000):
+        host, word, other = rng.choice(hosts), rng.choice(words), rng.choice(words)
+        verdict = rng.choice(["allow", "block"])
+        made = rng.choice([
+            urls.prefix_rule(verdict, host, f"/{word}/"),
+            urls.prefix_rule(verdict, host.split(".", 1)[1], "/", 0),
+            urls.Rule(f"any/{word}/*/{other}", rf"/{word}/(?:.*/)?{other}(?:/|$)", verdict, 2, [word, other]),
+            urls.Rule(f"{host}:8080", rf"^{urls.java_quote(host)}:8080/", verdict, 1, [*host.split("."), "8080"]),
+            urls.Rule(f"page{i}", rf"^{urls.java_quote(host)}/{word}$", verdict, 3, [*host.split("."), word]),
+        ])
+        rules.setdefault(made.name, made)
+    assert len(rules) > 2000
+    compiled = [(rule, re.compile(rule.pattern)) for rule in rules.values()]
+    got = corpora.collected(urls.judged(pages(spark, values), urls.rule_frame(spark, list(rules.values()))), "page_id")
+    decided = 0
+    for r in got:
+        place = r["host"] + r["path"]
+        fits = [(rule.priority, len(rule.name), rule.name, rule.verdict) for rule, pattern in compiled if pattern.search(place)]
+        assert (r["rule"], r["verdict"]) == (max(fits)[2:] if fits else (None, "allow")), values[r["page_id"]][:200]
+        decided += bool(fits)
+        # A url that has every word fetches every rule.
+        assert r["n_run"] < len(rules) / 4 or len(place) > 50_000
+    assert decided > 100

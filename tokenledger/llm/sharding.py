@@ -4,7 +4,7 @@ Rows are ordered by a hash of their text, then by a hash of their id, so copies
 each wanted splitter a range of keys is divided by probes, the exact bytes below every probe are counted over
 all partitions, and the range between the two nearest probes is divided again, until a probe is within
 tolerance or one text is left. A text that is too heavy to stay whole is divided by the id hash in the same
-way. Then all rows are exchanged once, to small buckets of a shard, which gives each row its slot.
+way. Then all rows are exchanged once, to buckets of bounded rows and bytes of a shard, which gives each row its slot.
 
 Defined cases: a null text has no bytes, so its row weighs 1; repeated rows are rows; equal rows (text and id)
 are never divided, as nothing tells them apart; an empty table gives an empty result; other columns are
@@ -24,8 +24,11 @@ SHARDS = 8
 TOLERANCE = 0.002
 # Probes per splitter and round.
 PROBES = 256
-# Rows per bucket of the last exchange, about: what one task sorts for the slots.
+# Rows and bytes per bucket of the last exchange, about: what is sorted together for the slots.
 BUCKET_ROWS = 4096
+BUCKET_BYTES = 8 * 1024 * 1024
+# Bytes per task of the last exchange, about.
+TASK_BYTES = 32 * 1024 * 1024
 
 KEY_BITS = 63
 RESULTS = ("size", "shard", "slot")
@@ -134,15 +137,19 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
     )
     keys = written(keyed.select("text_key", "id_key", "size"))
     cuts = splitters(keys, shards, tolerance)
-    # Buckets divide the text keys evenly. One that a heavy text fills is divided further by id keys.
-    n_rows = keys.count()
-    bits = max(0, (n_rows // BUCKET_ROWS).bit_length())
+    # Buckets divide the text keys evenly. One that a heavy text, or very long ones, fill is divided further by id
+    # keys. A short row counts as if it had its part of a bucket's bytes, so both rows and bytes are bounded; only a
+    # row that is longer than a bucket makes a larger one.
+    load = F.greatest(F.col("size"), F.lit(BUCKET_BYTES // BUCKET_ROWS))
+    total = keys.agg(F.sum(load)).first()[0] or 0
+    bits = max(0, (total // BUCKET_BYTES).bit_length())
     coarse = F.shiftright(F.col("text_key"), KEY_BITS - bits)
-    per_coarse = keys.groupBy(coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n"))
-    # At most rows / BUCKET_ROWS buckets can be that full, and a join that adaptive execution sizes finds them.
+    per_coarse = keys.groupBy(coarse.alias("coarse")).agg(F.sum(load).alias("n"))
+    # At most load / BUCKET_BYTES buckets can be that full, and a join that adaptive execution sizes finds them.
     full = written(
-        per_coarse.filter(F.col("n") > 2 * BUCKET_ROWS).select("coarse", F.expr(f"n div {BUCKET_ROWS} + 1").alias("parts"))
+        per_coarse.filter(F.col("n") > 2 * BUCKET_BYTES).select("coarse", F.expr(f"n div {BUCKET_BYTES} + 1").alias("parts"))
     )
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
     def bucketed(frame: DataFrame) -> DataFrame:
         part = F.coalesce(F.pmod(F.col("id_key"), F.col("parts")), F.lit(0))
@@ -154,6 +161,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
     # One row per bucket, some thousands of rows of the input each.
     before = "sum(n) over (partition by shard order by at, part rows between unbounded preceding and current row) - n"
     starts = counts.selectExpr("shard", "at", "part", f"{before} as start")
-    joined = bucketed(keyed).join(starts, ["shard", "at", "part"])
+    # As many tasks as the bytes need, whatever the session's number of partitions is; join and slots keep them.
+    joined = bucketed(keyed).repartition(tasks, "shard", "at", "part").join(
+        starts.hint("shuffle_hash"), ["shard", "at", "part"]
+    )
     position = F.expr("row_number() over (partition by shard, at, part order by text_key, id_key, row.doc_id)")
     return joined.select("row", "size", "shard", (F.col("start") + position - 1).alias("slot")).select("row.*", *RESULTS)

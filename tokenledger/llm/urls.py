@@ -3,16 +3,18 @@
 A rule is a regular expression over ``host + path``, a verdict and the literal tokens that every match holds
 whole. Tokens of rules are counted over all urls; a rule is filed under its rarest token. The tokens of a url
 fetch the rules filed under them, and only those run their expression. Of the rules that fit, the one with the
-highest priority decides, then the longest name, then the last name; without one, the default verdict.
+highest priority decides, then the longest name, then the last name, then the last verdict and pattern; without
+one, the default verdict.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and fits no rule; repeated urls are
-judged once and give equal rows; rules without a literal token are refused, as no token would fetch them; an
-empty table gives an empty result; columns other than page_id and url are not read.
+judged once and give equal rows; rules without a literal token are refused, as no token would fetch them, and so are
+rules of one name, which a result could not tell apart; an empty table gives an empty result; columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,9 +83,11 @@ def path_of(url: Column) -> Column:
 
 
 def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """Rules as rows; raises on a rule without a token."""
+    """Rules as rows; raises on a rule without a token, and on names that are given twice."""
     if bare := [rule.name for rule in rules if not rule.tokens]:
         raise ValueError(f"rules without a literal token: {bare}")
+    if twice := [name for name, n in Counter(rule.name for rule in rules).items() if n > 1]:
+        raise ValueError(f"rules of one name: {twice}")
     return spark.createDataFrame(
         rules, "name string, pattern string, rule_verdict string, priority int, tokens array<string>"
     )
@@ -115,7 +119,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     index = written(indexed(rules, places))
     candidates = lookup(tokens, index, {"url_token": "token"}, how="inner")
     fits = F.regexp_like("place", F.col("pattern"))
-    rank = F.struct("priority", F.length("name").alias("length"), "name")
+    rank = F.struct("priority", F.length("name").alias("length"), "name", "rule_verdict", "pattern")
     best = F.max_by(F.struct("name", "rule_verdict"), F.when(fits, rank)).alias("best")
     decided = candidates.groupBy("place").agg(best, F.count(F.lit(1)).alias("n_run"))
     # Both sides are keyed by the place, which hardly repeats: null and malformed urls have no row here.
