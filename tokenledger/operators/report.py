@@ -61,6 +61,20 @@ def measures() -> list[Column]:
     ]
 
 
+def report_keys(group_by: Sequence[str], moment: Column, model: Column, timezone: str) -> dict[str, Column]:
+    """The four keys of report rows; a dimension left out is a literal null, so that no facts give no rows."""
+    available = {
+        "month": ("month", month_start(moment, timezone), "date"),
+        "agent": ("agent", F.col("agent"), "string"),
+        "model": ("model", model, "string"),
+        "token-kind": ("token_kind", F.col("token_kind"), "string"),
+    }
+    return {
+        name: column if dimension in group_by else F.lit(None).cast(type_)
+        for dimension, (name, column, type_) in available.items()
+    }
+
+
 def usage_report(
     facts: DataFrame,
     catalog: Catalog,
@@ -72,17 +86,7 @@ def usage_report(
 
     Cost and credits are exact decimals here, see :func:`as_output`.
     """
-    available = {
-        "month": ("month", month_start(F.col("occurred_at_utc"), timezone), "date"),
-        "agent": ("agent", F.col("agent"), "string"),
-        "model": ("model", F.col("model_key"), "string"),
-        "token-kind": ("token_kind", F.col("token_kind"), "string"),
-    }
-    # A literal null stands in for a dimension left out, so that no facts give no rows.
-    keys = {
-        name: column if dimension in group_by else F.lit(None).cast(type_)
-        for dimension, (name, column, type_) in available.items()
-    }
+    keys = report_keys(group_by, F.col("occurred_at_utc"), F.col("model_key"), timezone)
     groups = token_groups(with_unit_prices(facts, catalog), keys)
     rows = groups.groupBy(*_KEYS).agg(*measures())
     return rows.withColumn("month", month_label(F.col("month"))).select(*REPORT_COLUMNS)

@@ -473,6 +473,7 @@ FROM priced WHERE credit IS NOT NULL GROUP BY ALL"""
     # reports
     sql["usage_report"] = _report(REPORT_DIMENSIONS)
     sql["report_by_month"] = _report_by("month", "month", "America/New_York")
+    sql["report_from_summary"] = sql["report_by_month"]
     sql["report_by_agent"] = _report_by("agent", "agent")
     sql["report_by_model"] = _report_by("model", "model")
     sql["report_by_kind"] = _report_by("token-kind", "token_kind")

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.fixed_values import REPORT_COLUMNS
+from tokenledger.fixed_values import AGENTS, REPORT_COLUMNS
 from tokenledger.functions import times
 from tokenledger.functions.counts import text_value, token_count
 from tokenledger.functions.models import model_key, rollout_mode, session_mode
 from tokenledger.operators import facts as fact_ops
-from tokenledger.operators import integrity, pricing, quality, report, rollouts, session_events
+from tokenledger.operators import integrity, pricing, quality, report, rollouts, rollup, session_events
 from tokenledger.operators.intervals import cover_join
 from tokenledger.operators.ordering import carry_along
 from tokenledger.plans import inputs
@@ -555,6 +555,16 @@ def report_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_output(rows).select("month", *report.MEASURES, "pricing_status")
 
 
+@query
+def report_from_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports by month in New York, from a summary that facts of two parts were appended to one after the other."""
+    facts, catalog, path = inputs.keyed_line_facts(spark, sf_dir), inputs.test_catalog(spark), shared_dir(spark)
+    for agent in AGENTS:
+        rollup.summarized(facts.filter(F.col("agent") == agent), catalog).write.mode("append").parquet(path)
+    rows = rollup.report_from(spark.read.parquet(path), group_by=["month"], timezone="America/New_York")
+    return report.as_output(rows).select("month", *report.MEASURES, "pricing_status")
+
+
 @query
 def report_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _report(spark, sf_dir, group_by=["agent", "no-such-dimension"])

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +31,24 @@ def build_session(app_name: str = "tokenledger", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to executors, which import it, unless they find it on the driver's ``PYTHONPATH``, as they do
+    on one machine. Not needed where it is installed on all of them."""
+    root, application = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if application in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(application)
+    # Spark takes it from here and serves it to the executors.
+    archive = Path(tempfile.mkdtemp(prefix="tokenledger-")) / "tokenledger.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for module in sorted((root / "tokenledger").rglob("*.py")):
+            packed.write(module, module.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def use_utc(spark: SparkSession) -> None:
     """Instants are formatted and bucketed in the session zone, so it has to be UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -34,10 +58,15 @@ def use_utc(spark: SparkSession) -> None:
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application's written intermediates, below what all executors share.
 
-    ``spark.checkpoint.dir`` names the shared folder; where it is unset, as in tests, the warehouse
-    folder of the session serves, which executors share as well.
+    ``spark.checkpoint.dir`` names the shared folder. Where it is unset, as in tests, the warehouse folder of the session
+    serves, but on a cluster only one that is no folder of the driver's machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        on_one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not on_one_machine and re.match(r"file:|/", base):
+            raise PySparkException("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base.rstrip('/')}/tokenledger/{spark.sparkContext.applicationId}"
 
 
