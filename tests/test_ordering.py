@@ -53,3 +53,15 @@ def test_running_totals(spark):
         sums[name] = sums.get(name, 0) + amount
         expected[name, pos] = sums[name]
     assert {(r.file, r.pos): r.total for r in got.collect()} == expected
+
+
+def test_blocks_are_not_broadcast(spark):
+    """Whatever sizes are estimated: a wide column that is dropped makes the rows look next to nothing."""
+    wide = F.struct(*[F.lit("x").alias(f"c{i}") for i in range(500)])
+    frame = spark.createDataFrame(skewed(4), SCHEMA).withColumn("wide", F.explode(F.array(wide))).filter("wide.c1 = 'x'").drop("wide")
+    attached = spark.createDataFrame([("hot", "x")], "file string, extra string")
+    carried = carry_along(frame, ["file"], latest={"last": F.col("tag").isNotNull()}, attach=attached)
+    for got in (carried, running_totals(frame, ["file"], {"total": F.col("amount")})):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
