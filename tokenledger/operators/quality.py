@@ -30,7 +30,7 @@ def malformed_events(events: DataFrame) -> DataFrame:
 def malformed_rollout_events(events: DataFrame, threads: DataFrame) -> DataFrame:
     """Malformed lines of files that a thread points at, once per thread."""
     per_file = events.groupBy("file").agg(F.sum("malformed").alias("malformed_events"))
-    return threads.select("file").join(per_file, "file").agg(
+    return threads.select("file").join(per_file.hint("merge"), "file").agg(
         F.sum("malformed_events").alias("malformed_events")
     )
 
@@ -62,7 +62,7 @@ def reconcile(threads: DataFrame, thread_counters: DataFrame) -> DataFrame:
     difference = F.abs(F.col("tokens_used") - F.col("derived_total"))
     share = F.col("tokens_used") * F.lit(RECONCILE_SHARE).cast("decimal(3,2)")
     return (
-        threads.join(totals, ["file", "thread_id"])
+        threads.join(totals.hint("merge"), ["file", "thread_id"])
         .filter((F.col("tokens_used") != 0) & (F.col("derived_total") != 0))
         .withColumn("difference", difference)
         .filter(F.col("difference") > F.greatest(F.lit(RECONCILE_TOKENS), share))
