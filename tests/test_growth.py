@@ -42,3 +42,17 @@ def test_threads_and_their_logs_are_not_broadcast(spark):
     for name, (frame, expected) in frames.items():
         assert rows(frame, *frame.columns) == expected, name
         assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_texts_of_times_are_made_after_counters_were_added_up(spark, tmp_path):
+    """No sort, window or merge of a task keeps what a row's place already says."""
+    events = spark.createDataFrame(
+        [(i, 7, "click" if i % 3 else "signup", float(i)) for i in range(1, 20)],
+        "event_id bigint, user_id bigint, event_type string, value double",
+    ).selectExpr("*", "timestamp_seconds(1700000000 + event_id)::timestamp_ntz AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    lines = inputs.rollout_lines(spark, str(tmp_path))
+    got = rows(lines.selectExpr("pos.event_id AS id", "get_json_object(line, '$.timestamp') AS at"), "id", "at")
+    assert got == [(i, f"2023-11-14T22:13:{20 + i:02d}.000000Z") for i in range(1, 20)]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan[plan.index("RepartitionByExpression") :]

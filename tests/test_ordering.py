@@ -65,3 +65,14 @@ def test_blocks_are_not_broadcast(spark):
         got.collect()
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_rows_are_shuffled_without_second_copies_of_their_places(spark):
+    frame = spark.createDataFrame(skewed(5), SCHEMA)
+    tagged = {"last": F.col("tag").isNotNull()}
+    whole = carry_along(frame, ["file"], latest=tagged)
+    assert whole.schema["last"].dataType.names == frame.columns
+    carried = carry_along(frame, ["file"], latest=tagged, carrying={"last": ["amount"]})
+    for got in (carried, running_totals(frame, ["file"], {"total": F.col("amount")})):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "struct(amount" in plan and "struct(file" not in plan
